@@ -25,3 +25,30 @@ def op1_secret_scan(spark, sf_dir):
 
     model = secrets.train(secrets.generated_samples(table(spark, sf_dir, "benchmark")))
     return secrets.summary(table(spark, sf_dir, "documents"), model)
+
+
+@_query
+def op4_exact_dedup(spark, sf_dir):
+    from basalt.llm import exactdedup
+
+    return exactdedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
+_NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
+ORACLES["op4_exact_dedup"] = f"""
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, {_NORM} AS t FROM documents) WINDOW w AS (PARTITION BY t)"""
+
+
+@_query
+def op6_source_mixing(spark, sf_dir):
+    from basalt.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_best_fit_packing(spark, sf_dir):
+    from basalt.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))

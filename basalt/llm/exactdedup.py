@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from basalt.llm.common import SPACE, shared_dir, stored
 
+#: Bytes of input for each partition of the state, and the fewest partitions. Every RocksDB instance holds
+#: 4 MB of disk however little state it has, so there is no use in as many as a shuffle has tasks.
+STATE_BYTES, STATE_LEAST = 2 << 30, 8
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -53,9 +56,10 @@ def fold_stream(spark: SparkSession, path: str, files_per_batch: int = 1000, sta
     root = state_dir or f"{shared_dir(spark)}/basalt-stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).select("doc_id", "text").schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    partitions = max(STATE_LEAST, fs.getContentSummary(at).getLength() // STATE_BYTES)
+    if not fs.getFileStatus(at).isDirectory():
         reader = reader.option("pathGlobFilter", at.getName())  # streams watch folders: the one of the file
         path = at.getParent().toString()
     rows = reader.parquet(path).select(F.col("doc_id").cast("bigint").alias("doc_id"), _digest(F.col("text")).alias("digest"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
@@ -66,7 +70,7 @@ def fold_stream(spark: SparkSession, path: str, files_per_batch: int = 1000, sta
         flat = batch.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.f").alias("keep_file"), F.col("keep.r").alias("keep_row"), "group_size")
         flat.write.mode("overwrite").parquet(f"{changed}/batch={batch_id}")  # again after a failure: the same folder
 
-    conf = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.numRecentProgressUpdates": "1"}
+    conf = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.internal.stateStore.partitions": str(partitions), "spark.sql.streaming.numRecentProgressUpdates": "1"}
     with _conf(spark, **conf):
         q = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
         q.awaitTermination()

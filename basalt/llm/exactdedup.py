@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import SPACE, shared_dir, stored
+from basalt.llm.common import SPACE, drop_stored, shared_dir, stored
 
 #: Bytes of input for each partition of the state, and the fewest partitions. Every RocksDB instance holds
 #: 4 MB of disk however little state it has, so there is no use in as many as a shuffle has tasks.
@@ -90,45 +90,52 @@ def fold_stream(spark: SparkSession, path: str, files_per_batch: int = 1000, sta
 HITS_PER_COPY = 256
 
 
-def check_hits(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """doc_id of rows whose text differs from the kept text of the same digest: of collisions.
+def _verdict(docs: DataFrame, groups: DataFrame, *more: str) -> DataFrame:
+    """Each row's group, by digest; no text leaves its task."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _digest(F.col("text")).alias("digest"), *more)
+    return stored(rows.join(groups, "digest"), "verdict")
 
-    Only groups of two rows and more are read. A group's hits are dealt over ceil(size / HITS_PER_COPY)
-    parts, each with its own copy of the kept text, so no task gets a large group.
+
+def check_hits(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """doc_id and digest of rows whose text differs from the kept text of their digest: of collisions.
+
+    Only texts of groups of two rows and more are moved: while their IDs are few, a Bloom filter of them (its
+    size is bounded) keeps the other texts out of the exchange. A group's hits are dealt over
+    ceil(size / HITS_PER_COPY) parts, each with its own copy of the kept text, so no task gets a large group.
     """
-    many = groups.where("group_size > 1").select("digest", "keep_id", F.ceil(F.col("group_size") / HITS_PER_COPY).cast("int").alias("parts"))
-    rows = docs.join(many, "digest")
-    hit = rows.where("doc_id <> keep_id").select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), normalised(F.col("text")).alias("text"))
-    kept = rows.where("doc_id = keep_id").dropDuplicates(["digest"]).select("digest", normalised(F.col("text")).alias("kept"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return hit.join(kept, ["digest", "part"]).where("text <> kept").select("doc_id", "digest")
+    many = stored(verdict.where("group_size > 1").select("doc_id", "digest", "keep_id", "group_size").distinct(), "members")
+    with _conf(docs.sparkSession, **{"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}):
+        rows = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normalised(F.col("text")).alias("text")).join(many.where("group_size > 1"), "doc_id"), "texts")
+    parts = F.ceil(F.col("group_size") / HITS_PER_COPY).cast("int")
+    hit = rows.where("doc_id <> keep_id").select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"), "text")
+    kept = rows.where("doc_id = keep_id").dropDuplicates(["digest"]).select("digest", F.col("text").alias("kept"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    odd = stored(hit.join(kept, ["digest", "part"]).where("text <> kept").select("doc_id", "digest"), "collisions")
+    drop_stored(rows)
+    return odd
 
 
 def deduplicate(spark: SparkSession, path: str) -> DataFrame:
     """One row per document under path: doc_id, keep_id, group_size, kept, text_sha256."""
-    groups = stored(fold_stream(spark, path), "groups")
-    docs = spark.read.parquet(path).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    docs = docs.withColumn("digest", _digest(F.col("text")))
-    out = docs.select("doc_id", "digest").join(groups.select("digest", "keep_id", "group_size"), "digest")
-    collided = stored(check_hits(docs, groups), "collisions")
-    if collided.head(1):  # SHA-256 has met two texts: group those digests by text
+    docs = spark.read.parquet(path)
+    verdict = _verdict(docs, fold_stream(spark, path).select("digest", "keep_id", "group_size"))
+    collided, out = check_hits(docs, verdict), verdict
+    if collided.head(1):  # two texts share a digest: group the texts of those digests themselves
         odd = collided.select("digest").distinct()
-        by_text = docs.join(odd, "digest", "left_semi").withColumn("n", normalised(F.col("text")))
+        by_text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normalised(F.col("text")).alias("n")).withColumn("digest", _digest(F.col("n"))).join(odd, "digest", "left_semi")
         exact = by_text.groupBy("digest", "n").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        redone = by_text.select("doc_id", "digest", "n").join(exact, ["digest", "n"]).select("digest", "doc_id", "keep_id", "group_size")
-        out = out.join(odd, "digest", "left_anti").unionByName(redone)
+        redone = by_text.join(exact, ["digest", "n"]).select("digest", "doc_id", "keep_id", "group_size")
+        out = verdict.join(odd, "digest", "left_anti").select("digest", "doc_id", "keep_id", "group_size").unionByName(redone)
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns. docs is written to the shared folder first, as the
     stream reads files; the rows that stay are found there by their locators, so of rows that repeat a
-    doc_id one stays too."""
+    doc_id one stays too. A row that only shares a digest with another text stays."""
     rows = stored(docs, "docs")
-    groups = stored(fold_stream(docs.sparkSession, rows._basalt_path), "groups")
-    placed = docs.sparkSession.read.schema(docs.schema).parquet(rows._basalt_path).select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
-    id_text = placed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    collided = stored(check_hits(id_text.withColumn("digest", _digest(F.col("text"))), groups), "collisions").select("doc_id").distinct()
-    place = placed.select("_f", "_r", F.col("doc_id").alias("_id"), _digest(F.col("text")).alias("digest"))
-    copies = place.join(groups.where("group_size > 1").select("digest", "keep_file", "keep_row"), "digest").where("not (_f = keep_file and _r = keep_row)").select("_f", "_r", "_id")
-    copies = stored(copies.join(collided, F.col("_id") == F.col("doc_id"), "left_anti").select("_f", "_r"), "copies")
-    return placed.join(copies, ["_f", "_r"], "left_anti").select(*docs.columns)
+    groups = fold_stream(docs.sparkSession, rows._basalt_path).select("digest", "keep_id", "keep_file", "keep_row", "group_size")
+    placed = docs.sparkSession.read.schema(docs.schema).parquet(rows._basalt_path).select("*", F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
+    verdict = _verdict(placed, groups, "_f", "_r")
+    collided = check_hits(rows, verdict).select("doc_id").distinct()
+    copies = verdict.where("not (_f = xxhash64(keep_file) and _r = keep_row)").join(collided, "doc_id", "left_anti").select("_f", "_r")
+    return placed.join(stored(copies, "copies"), ["_f", "_r"], "left_anti").select(*docs.columns)

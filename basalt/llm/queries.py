@@ -52,3 +52,17 @@ def op9_best_fit_packing(spark, sf_dir):
     from basalt.llm import packing
 
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_quality_classifier(spark, sf_dir):
+    from basalt.llm import quality
+
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op8_toxicity(spark, sf_dir):
+    from basalt.llm import toxicity
+
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

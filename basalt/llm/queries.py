@@ -66,3 +66,18 @@ def op8_toxicity(spark, sf_dir):
     from basalt.llm import toxicity
 
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op7_hash_prefix_forest(spark, sf_dir):
+    from basalt.llm import neighbours
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@_query
+def op10_licence_scan(spark, sf_dir):
+    from basalt.llm import licences
+
+    return licences.scan(licences.documents_as_files(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")

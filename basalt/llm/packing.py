@@ -30,8 +30,11 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length that one task ranks.
 PART = 50_000
-_CACHE_WORDS = 300_000
+#: Words whose IDs a worker keeps: about 200 bytes each.
+_CACHE_WORDS = 1_000_000
 _LONG_WORD = 64
+#: Letters whose lower case and normal form are plain, then marks: two tokenizer words at most, told by rule.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|]*)")
 #: str.split() cuts at these too, the tokenizer's white space does not hold them.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _workers: dict = {}
@@ -43,37 +46,66 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: printable Latin-1 for
+    itself, the rest in order from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Token IDs as little-endian unsigned 32-bit bytes.
 
     The tokenizer never joins text across white space, so IDs are kept by word and each distinct word is
-    encoded once while it stays in the cache."""
+    encoded once while it stays in the cache. Words of plain letters, with marks after them or not, go straight
+    to the tokenizer's model; all others through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tok, self.words = Tokenizer.from_file(path), {}
+        self.tok, self.words, self.parts = Tokenizer.from_file(path), {}, {}
+        self.model, self.letters = self.tok.model, _byte_letters()
 
     def _encode(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
 
+    def _part(self, s: str) -> bytes:
+        got = self.parts.get(s)
+        if got is None:
+            seen = s if s.isascii() else "".join(map(self.letters.__getitem__, s.encode()))
+            got = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
+            if len(s) <= _LONG_WORD:
+                self.parts[s] = got
+        return got
+
+    def _word(self, w: str) -> bytes:
+        m = _PLAIN.fullmatch(w)
+        if not m:
+            return self._encode([w])[0]
+        return self._part(m[1].lower()) + (self._part(m[2]) if m[2] else b"")
+
     def batch(self, strings: list[str]) -> Iterator[bytes]:
-        if len(self.words) > _CACHE_WORDS:
-            self.words.clear()
         known = self.words
+        if len(known) + len(self.parts) > _CACHE_WORDS:
+            known.clear()
+            self.parts.clear()
         for s in strings:
             if _ODD_SPACE.search(s):
                 yield self._encode([s])[0]
                 continue
             words = s.split()
-            new = [w for w in set(words) if w not in known]
-            for w, ids in zip(new, self._encode(new), strict=True):
-                known[w] = ids
-            yield b"".join(map(known.__getitem__, words))
-            for w in new:
-                if len(w) > _LONG_WORD:
-                    del known[w]
+            try:
+                yield b"".join(map(known.__getitem__, words))
+            except KeyError:
+                new = set(words).difference(known)
+                for w in new:
+                    known[w] = self._word(w)
+                yield b"".join(map(known.__getitem__, words))
+                for w in new:
+                    if len(w) > _LONG_WORD:
+                        del known[w]
 
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"

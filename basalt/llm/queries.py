@@ -81,3 +81,10 @@ def op10_licence_scan(spark, sf_dir):
     from basalt.llm import licences
 
     return licences.scan(licences.documents_as_files(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op3_ngram_jaccard_join(spark, sf_dir):
+    from basalt.llm import jaccard
+
+    return jaccard.components(table(spark, sf_dir, "documents"))

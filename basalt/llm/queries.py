@@ -88,3 +88,10 @@ def op3_ngram_jaccard_join(spark, sf_dir):
     from basalt.llm import jaccard
 
     return jaccard.components(table(spark, sf_dir, "documents"))
+
+
+@_query
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

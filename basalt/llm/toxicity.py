@@ -177,15 +177,23 @@ def _form_counts(rows: DataFrame, only: frozenset | None) -> DataFrame:
     return rows.select("text").mapInArrow(run, "form string, n bigint").groupBy("form").agg(F.sum("n").alias("n"))
 
 
-def learn_terms(sample: DataFrame, least: int = 6, lift: float = 30.0) -> list[tuple[str, bool]]:
-    """Terms from sample(text, y), a bounded number of rows: in `least` toxic texts or more, with an odds ratio of
-    `lift` or more. Of a chain of prefixes with the same texts the longest counts, and no term that begins
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """One text of each that begin alike, and of each that end alike: copies of one toxic text would make
+    terms of all its words."""
+    words = F.split(F.lower("text"), r"\s+")
+    return sample.withColumn("_w", F.slice(words, 1, 5)).dropDuplicates(["_w", "y"]).withColumn("_w", F.slice(F.reverse(words), 1, 5)).dropDuplicates(["_w", "y"]).drop("_w")
+
+
+def learn_terms(sample: DataFrame, least: int = 6, share: float = 0.01, lift: float = 30.0, most: int = 200) -> list[tuple[str, bool]]:
+    """At most `most` terms from sample(text, y), a bounded number of rows: in `least` toxic texts or more and in
+    `share` of them or more, copies aside, with an odds ratio of `lift` or more. Of a chain of prefixes with the same texts the longest counts, and no term that begins
     with a chosen stem."""
+    sample = stored(_without_copies(sample), "sample")
     n = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return []
-    pos = {r.form: r.n for r in _form_counts(sample.where("y = 1"), None).where(F.col("n") >= least).collect()}
+    pos = {r.form: r.n for r in _form_counts(sample.where("y = 1"), None).where(F.col("n") >= max(least, share * n1)).collect()}
     neg = {r.form: r.n for r in _form_counts(sample.where("y = 0"), frozenset(pos)).collect()}
 
     def strong(f):
@@ -201,7 +209,7 @@ def learn_terms(sample: DataFrame, least: int = 6, lift: float = 30.0) -> list[t
             f = more[0]
         chosen.append((f, pos.get(f"={f}", 0) < 0.9 * pos[f]))
     chosen += [(f[1:], False) for f in pos if f.startswith("=") and strong(f) and not any(f[1 : k + 1] in stems for k in range(SHORTEST, len(f)))]
-    return sorted(set(chosen))
+    return sorted(sorted(set(chosen), key=lambda t: (-pos.get(t[0], pos.get(f"={t[0]}", 0)), t))[:most])
 
 
 def learn_weights(sample: DataFrame, terms: list[tuple[str, bool]]) -> dict[tuple[int, int], float]:

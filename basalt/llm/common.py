@@ -1,6 +1,7 @@
 """What the operators share: stored intermediate tables, texts as bytes, and checks of their inputs."""
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +42,28 @@ def drop_stored(*frames: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def configured(spark: SparkSession, **values: str):
+    """Session settings for as long as a step runs."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def picked(df: DataFrame, keys: DataFrame, key: str, name: str, fn=lambda joined: joined) -> DataFrame:
+    """fn of the join of df with keys on key, stored. While keys are few, Spark makes a Bloom filter of them (of
+    bounded size) that keeps df's other rows out of the exchange; it does so where keys are filtered."""
+    few = stored(keys.withColumn("_picked", F.lit(1)), f"{name}-keys")
+    bloom = "spark.sql.optimizer.runtime.bloomFilter"
+    with configured(df.sparkSession, **{f"{bloom}.enabled": "true", f"{bloom}.applicationSideScanSizeThreshold": "0"}):
+        return stored(fn(df.join(few.where("_picked > 0").drop("_picked"), key)), name)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text with null as empty, and the columns named in more; nothing else is read."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

@@ -12,13 +12,12 @@ doc_id stays once. An empty table gives an empty result. Columns besides doc_id
 """
 from __future__ import annotations
 
-import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import SPACE, drop_stored, shared_dir, stored
+from basalt.llm.common import SPACE, configured, drop_stored, picked, shared_dir, stored
 
 #: Bytes of input for each partition of the state, and the fewest partitions. Every RocksDB instance holds
 #: 4 MB of disk however little state it has, so there is no use in as many as a shuffle has tasks.
@@ -34,18 +33,6 @@ def _digest(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
-@contextlib.contextmanager
-def _conf(spark: SparkSession, **values):
-    old = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def fold_stream(spark: SparkSession, path: str, files_per_batch: int = 1000, state_dir: str | None = None) -> DataFrame:
     """Runs the stream over every file under path that its state has not seen, and returns the state:
     digest, keep_id, keep_file, keep_row, group_size.
@@ -71,7 +58,7 @@ def fold_stream(spark: SparkSession, path: str, files_per_batch: int = 1000, sta
         flat.write.mode("overwrite").parquet(f"{changed}/batch={batch_id}")  # again after a failure: the same folder
 
     conf = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.internal.stateStore.partitions": str(partitions), "spark.sql.streaming.numRecentProgressUpdates": "1"}
-    with _conf(spark, **conf):
+    with configured(spark, **conf):
         q = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
         q.awaitTermination()
     out_schema = "digest string, keep_id bigint, keep_file string, keep_row bigint, group_size bigint, batch int"
@@ -103,9 +90,8 @@ def check_hits(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     size is bounded) keeps the other texts out of the exchange. A group's hits are dealt over
     ceil(size / HITS_PER_COPY) parts, each with its own copy of the kept text, so no task gets a large group.
     """
-    many = stored(verdict.where("group_size > 1").select("doc_id", "digest", "keep_id", "group_size").distinct(), "members")
-    with _conf(docs.sparkSession, **{"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}):
-        rows = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normalised(F.col("text")).alias("text")).join(many.where("group_size > 1"), "doc_id"), "texts")
+    many = verdict.where("group_size > 1").select("doc_id", "digest", "keep_id", "group_size").distinct()
+    rows = picked(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normalised(F.col("text")).alias("text")), many, "doc_id", "texts")
     parts = F.ceil(F.col("group_size") / HITS_PER_COPY).cast("int")
     hit = rows.where("doc_id <> keep_id").select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"), "text")
     kept = rows.where("doc_id = keep_id").dropDuplicates(["digest"]).select("digest", F.col("text").alias("kept"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))

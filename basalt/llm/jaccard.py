@@ -11,9 +11,10 @@ a text that has no near copy, and none of which makes all pairs of a group:
    signature tree over a block has nodes that combine their members' token bitmaps (with OR; as bits hold
    counts, with the maximum) and their range of sizes. Two trees, or one with itself, are traversed at once;
    node pairs go when sizes or the largest possible overlap rule out a link, or when their members are
-   connected already. What is left is compared exactly. Later rounds take one text of each component.
+   connected already. What is left is compared exactly. Later rounds, at other min-hashes and at last at the
+   first again, take one text of each component.
 3. The rest. Candidates that blocks have left apart but that share prefix shingles across components are
-   paired, pruned by size and by shared counts, and compared exactly. Shingles of more than COMMON
+   paired, pruned by size and by shared counts, and compared exactly while their components are apart. Shingles of more than COMMON
    candidates are left out of that where a pair must share another one too; texts of mostly common shingles
    meet at those by signature trees. So no link is lost.
 
@@ -30,16 +31,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.llm.common import drop_stored, ids_and_bytes, small_batches, stored, texts
+from basalt.llm.common import drop_stored, ids_and_bytes, picked, small_batches, stored, texts
 
 WORDS = 5
 #: Characters of text for each part of the hash space.
 PART_CHARS = 1 << 26
 BLOCK = 1024
-ROUNDS = 2
+ROUNDS = 4
 #: A prefix shingle of more candidates than this is common.
 COMMON = 64
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -128,7 +129,7 @@ class Node:
 
 
 class SignatureTree:
-    """Over items sorted by size: leaves are items; a node has the bits of its members combined."""
+    """Over items in the order given: leaves are items; a node has the bits of its members combined."""
 
     FAN = 8
 
@@ -144,20 +145,22 @@ class SignatureTree:
             for k in range(0, len(level), self.FAN):
                 kids = level[k : k + self.FAN]
                 x = Node()
-                x.lo, x.hi, x.least, x.most = kids[0].lo, kids[-1].hi, kids[0].least, kids[-1].most
+                x.lo, x.hi, x.least, x.most = kids[0].lo, kids[-1].hi, min(c.least for c in kids), max(c.most for c in kids)
                 x.bits, x.kids = np.maximum.reduce([c.bits for c in kids]), kids
                 up.append(x)
             level = up
         self.root = level[0] if level else None
 
-    def self_join(self, comps: Components, check) -> None:
-        """Calls check(i, j) for item pairs that may link and are not connected; it returns whether they do."""
+    def self_join(self, comps: Components | None, check, labels: np.ndarray | None = None) -> None:
+        """Calls check(i, j) for item pairs that may link and are not connected; it returns whether they do.
+        Items are connected by comps, or, sorted by labels, by equal labels."""
+        connected = (lambda a, b: self._connected(a, b, comps)) if labels is None else (lambda a, b: labels[a.lo] == labels[a.hi - 1] == labels[b.lo] == labels[b.hi - 1])
         stack = [(self.root, self.root)] if self.root else []
         while stack:
             a, b = stack.pop()
             if 4 * a.most < 3 * b.least or 4 * b.most < 3 * a.least:
                 continue
-            if self._connected(a, b, comps):
+            if connected(a, b):
                 continue
             if a is not b and not linked(int(np.minimum(a.bits, b.bits).sum(dtype=np.int64)) + self._capped(a, b), a.least, b.least):
                 continue
@@ -303,16 +306,8 @@ def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
                     keys[r].append(int(_mix(h ^ seeds[r]).min().view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), *(pa.array(k, pa.int64()) for k in keys)], ["node", "n", "hashes", *(f"k{r}" for r in range(ROUNDS))])
 
-    spark = docs.sparkSession
-    old = {k: spark.conf.get(k, None) for k in ("spark.sql.optimizer.runtime.bloomFilter.enabled", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold")}
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    try:
-        joined = texts(docs).join(reps.where("node is not null"), "doc_id").select("doc_id", "text", "node")
-        return stored(joined.mapInArrow(run, "node bigint, n bigint, hashes binary, " + ", ".join(f"k{r} bigint" for r in range(ROUNDS))), "sets")
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    schema = "node bigint, n bigint, hashes binary, " + ", ".join(f"k{r} bigint" for r in range(ROUNDS))
+    return picked(texts(docs), reps, "doc_id", "sets", lambda joined: joined.select("doc_id", "text", "node").mapInArrow(run, schema))
 
 
 def _block_round(sets: DataFrame, key: str) -> DataFrame:
@@ -440,18 +435,15 @@ def _across(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
 
 def _common_pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs across components among the texts of a common shingle that a signature tree does not rule out."""
-    pdf = pdf.sort_values(["n", "node"])
+    pdf = pdf.sort_values(["label", "n", "node"])  # a component is one stretch of the tree
     bits = np.stack([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
-    node, label = pdf["node"].to_numpy(), pdf["label"].to_numpy()
-    comps, found, at = Components(len(pdf)), [], {}
-    for i, x in enumerate(label.tolist()):  # one component already
-        comps.union(at.setdefault(x, i), i)
+    node, found = pdf["node"].to_numpy(), []
 
     def check(i, j):
         found.append((min(node[i], node[j]), max(node[i], node[j])))
         return False  # not compared yet
 
-    SignatureTree(bits, pdf["n"].to_numpy()).self_join(comps, check)
+    SignatureTree(bits, pdf["n"].to_numpy()).self_join(None, check, pdf["label"].to_numpy())
     found = np.array(found, np.int64).reshape(-1, 2)
     return pd.DataFrame({"x": found[:, 0], "y": found[:, 1]})
 
@@ -498,10 +490,31 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(bool(linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t))))
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    hx, hy = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "xy")
+    pairs = stored(pairs, "pairs")
+    nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+    some = picked(sets.select("node", "hashes"), nodes, "node", "paired")
+    hx, hy = (some.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "xy")
     return pairs.join(hx, "x").join(hy, "y").select("x", "y", "hx", "hy").mapInArrow(run, "a bigint, b bigint")
 
 
+def _rest(pairs: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components by edges and by what of pairs links. Of each two components a few pairs are compared at a
+    time, eight times as many in each round, and the others only while the two are still apart."""
+    left, some = stored(pairs, "rest"), 1
+    labels = connected(edges)
+    while left.head(1):
+        lx, ly = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "xy")
+        apart = left.join(lx, "x", "left").join(ly, "y", "left").select("x", "y", F.coalesce("lx", "x").alias("lx"), F.coalesce("ly", "y").alias("ly")).where("lx <> ly")
+        order = Window.partitionBy(F.least("lx", "ly"), F.greatest("lx", "ly")).orderBy(F.xxhash64("x", "y"))
+        ranked = stored(apart.select("x", "y", F.row_number().over(order).alias("r")), "rest")
+        found = stored(_verified(ranked.where(F.col("r") <= some).select("x", "y"), sets), "found")
+        left, some = ranked.where(F.col("r") > some).select("x", "y"), some * 8
+        if found.head(1):
+            edges = stored(edges.unionByName(found), "edges")
+            labels = connected(edges)
+    return labels
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach) and component_size."""
     spark = docs.sparkSession
@@ -512,18 +525,12 @@ def components(docs: DataFrame) -> DataFrame:
     reps = stored(info.where("may_link").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "reps")
     sets = _sets(docs, reps)
     edges = stored(_block_round(sets, "k0"), "edges0")
-    for r in range(1, ROUNDS + 1):  # the last round meets at the first key again, with one set a component
-        labels = connected(edges)
-        if r == ROUNDS:
-            inside = labels.where("node <> label").select("node")
-            left, key = sets.join(inside, "node", "left_anti"), "k0"
-        else:
-            left, key = sets, f"k{r}"
-        edges = stored(edges.unionByName(_block_round(left, key)), f"edges{r}")
-    labels = connected(edges)
-    more = stored(_verified(_remaining(sets, labels, parts), sets), "more")
-    if more.head(1):
-        labels = connected(edges.unionByName(more))
+    for r in [*range(1, ROUNDS), 0]:  # one set a component; at last at the first key again, for runs cut at BLOCK
+        firsts = sets.select("node").join(connected(edges).where("node <> label").select("node"), "node", "left_anti")
+        left = picked(sets.select("node", "hashes", f"k{r}"), firsts, "node", "firsts")
+        edges = stored(edges.unionByName(_block_round(left, f"k{r}")), f"edges{r}")
+        drop_stored(left)
+    labels = _rest(_remaining(sets, connected(edges), parts), sets, edges)
     drop_stored(sets)
     named = info.where("n > 0").join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("component_size"))

@@ -37,7 +37,7 @@ from basalt.llm.common import drop_stored, ids_and_bytes, small_batches, stored,
 LENGTH = 50
 ANCHOR = 18
 #: Bytes of text for each part of the hash space.
-PART_BYTES = 1 << 26
+PART_BYTES = 1 << 24
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -160,7 +160,7 @@ def _sampled(docs: DataFrame, parts: int, length: int) -> DataFrame:
                     owner.append(np.full(len(h), len(ids), np.int32))
                     ids.append(i)
                     held += len(h)
-                if held > 1_000_000:
+                if held > 300_000:
                     yield rows()
                     ids, ranks, around, owner, held = [], [], [], [], 0
         if held:
@@ -236,9 +236,14 @@ def _second_pass(docs: DataFrame, flags: DataFrame, parts: int, length: int) ->
     return joined.mapInArrow(run, _STARTS)
 
 
-def _string_ranks(pdf: pd.DataFrame, length: int, slices: int = 4) -> pd.DataFrame:
+#: Bytes of surroundings that are ranked at once; each takes about a hundred bytes of memory.
+_SLICE = 1 << 20
+
+
+def _string_ranks(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     """Of one part: the starts, in each document, of strings that a document of smaller doc_id has."""
     out: dict[int, list] = {}
+    slices = 1 + sum(map(len, pdf["around"])) // _SLICE
     ranks = [np.frombuffer(x, "<u8") for x in pdf["ranks"]]
     for k in range(slices):  # equal strings have equal anchors, so they are in one slice
         data, doc, start, base, held = [], [], [], [], 0

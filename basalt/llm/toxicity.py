@@ -13,6 +13,7 @@ an empty result. Columns besides doc_id and text are not read.
 """
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from dataclasses import dataclass, field
@@ -47,6 +48,7 @@ def word_of(token: str) -> str:
 class Node:
     term: int = -1
     stem: bool = False
+    bound: int = 0  # the largest distance that a term at or below the node allows
     next: dict[str, Node] = field(default_factory=dict)
 
 
@@ -80,11 +82,11 @@ class Lexicon:
         self.lengths = sorted({len(t) for t, _ in terms})
         parts: dict[str, set[tuple[int, int]]] = {}
         for k, (t, stem) in enumerate(terms):
-            at = self.root
+            at, d = self.root, distance_allowed(len(t))
             for ch in t:
                 at = at.next.setdefault(ch, Node())
+                at.bound = max(at.bound, d)
             at.term, at.stem = k, stem
-            d = distance_allowed(len(t))
             for i in range(d + 1):
                 lo = i * len(t) // (d + 1)
                 parts.setdefault(t[lo : (i + 1) * len(t) // (d + 1)], set()).add((lo, d))
@@ -109,13 +111,15 @@ class Lexicon:
         stack = [(self.root, auto.start, 0)]
         while stack:
             node, row, depth = stack.pop()
+            if best and min(row) > best[0]:
+                continue
             if node.term >= 0:
                 d = row[-1] if whole and not node.stem else min(row) if node.stem else 9
                 if d <= distance_allowed(depth) and (best is None or (d, -depth) < best[:2]):
                     best = (d, -depth, node.term)
             for ch, child in node.next.items():
                 nxt = auto.step(row, ch)
-                if min(nxt) <= 2:
+                if min(nxt) <= child.bound:
                     stack.append((child, nxt, depth + 1))
         return best and (best[2], best[0])
 
@@ -130,6 +134,12 @@ class Lexicon:
             return got
 
 
+@functools.lru_cache(maxsize=1)
+def _lexicon(terms: tuple[tuple[str, bool], ...]) -> Lexicon:
+    """The worker's lexicon: its cache lasts from task to task."""
+    return Lexicon(list(terms))
+
+
 def context(tokens: list[str], k: int) -> float:
     """Factor for a hit at tokens[k]: below 1 if it is quoted or reported, above if it addresses someone."""
     lo, near = max(0, k - WINDOW), tokens[max(0, k - WINDOW) : k + WINDOW + 1]
@@ -184,39 +194,51 @@ def _without_copies(sample: DataFrame) -> DataFrame:
     return sample.withColumn("_w", F.slice(words, 1, 5)).dropDuplicates(["_w", "y"]).withColumn("_w", F.slice(F.reverse(words), 1, 5)).dropDuplicates(["_w", "y"]).drop("_w")
 
 
-def learn_terms(sample: DataFrame, least: int = 6, share: float = 0.01, lift: float = 30.0, most: int = 200) -> list[tuple[str, bool]]:
-    """At most `most` terms from sample(text, y), a bounded number of rows: in `least` toxic texts or more and in
-    `share` of them or more, copies aside, with an odds ratio of `lift` or more. Of a chain of prefixes with the same texts the longest counts, and no term that begins
-    with a chosen stem."""
+def lowest_odds_ratio(p: int, q: int, n1: int, n0: int, z: float = 2.58) -> float:
+    """Lower 99 % confidence bound of the odds ratio of a form in p of n1 toxic and q of n0 other texts (Woolf, Haldane)."""
+    a, b, c, d = p + 0.5, q + 0.5, n1 - p + 0.5, n0 - q + 0.5
+    return a * d / (b * c) * math.exp(-z * math.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
+
+
+def learn_terms(sample: DataFrame, least: int = 6, lift: float = 30.0) -> list[tuple[str, bool]]:
+    """Terms from sample(text, y), a bounded number of rows: in `least` toxic texts or more, copies aside, however
+    many toxic texts there are, `lift` times as common in toxic texts as in others or more, and with an odds ratio
+    that lies above 1 by its confidence bound. Of a chain of prefixes with the same texts the longest counts, and no
+    term that begins with a chosen stem."""
     sample = stored(_without_copies(sample), "sample")
     n = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return []
-    pos = {r.form: r.n for r in _form_counts(sample.where("y = 1"), None).where(F.col("n") >= max(least, share * n1)).collect()}
+    pos = {r.form: r.n for r in _form_counts(sample.where("y = 1"), None).where(F.col("n") >= least).collect()}
     neg = {r.form: r.n for r in _form_counts(sample.where("y = 0"), frozenset(pos)).collect()}
 
     def strong(f):
-        return (pos[f] + 0.5) / (n1 + 1) / ((neg.get(f, 0) + 0.5) / (n0 + 1)) >= lift
+        p, q = pos[f], neg.get(f, 0)
+        return (p + 0.5) / (n1 + 1) / ((q + 0.5) / (n0 + 1)) >= lift and lowest_odds_ratio(p, q, n1, n0) > 1
 
+    longer: dict[str, list[str]] = {}  # forms of one more character
+    for f in pos:
+        if not f.startswith("="):
+            longer.setdefault(f[:-1], []).append(f)
     chosen: list[tuple[str, bool]] = []
     stems: set[str] = set()
     for f in sorted((f for f in pos if not f.startswith("=") and strong(f)), key=lambda f: (len(f), f)):
         if any(f[:k] in stems for k in range(SHORTEST, len(f) + 1)):
             continue
         stems.add(f)  # covers all that begin with it
-        while more := [g for g in pos if len(g) == len(f) + 1 and g.startswith(f) and pos[g] >= 0.9 * pos[f]]:
+        while more := [g for g in longer.get(f, ()) if pos[g] >= 0.9 * pos[f]]:
             f = more[0]
         chosen.append((f, pos.get(f"={f}", 0) < 0.9 * pos[f]))
     chosen += [(f[1:], False) for f in pos if f.startswith("=") and strong(f) and not any(f[1 : k + 1] in stems for k in range(SHORTEST, len(f)))]
-    return sorted(sorted(set(chosen), key=lambda t: (-pos.get(t[0], pos.get(f"={t[0]}", 0)), t))[:most])
+    return sorted(set(chosen))
 
 
 def learn_weights(sample: DataFrame, terms: list[tuple[str, bool]]) -> dict[tuple[int, int], float]:
     """Log-odds of a text with hits of (term, distance), 0 where that isn't above 0."""
 
     def run(batches):
-        lexicon = Lexicon(terms)
+        lexicon = _lexicon(tuple(terms))
         for b in batches:
             seen: Counter = Counter()
             for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
@@ -246,7 +268,7 @@ def _raw(rows: DataFrame, terms, weights, more: str = "") -> DataFrame:
     keep = [c.split()[0] for c in more.split(",") if c]
 
     def run(batches):
-        lexicon = Lexicon(terms)
+        lexicon = _lexicon(tuple(terms))
         for b in batches:
             raw = [raw_score(t, lexicon, weights) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw, pa.float64()), *(b.column(c) for c in keep)], ["doc_id", "raw", *keep])

@@ -18,6 +18,10 @@ a text that has no near copy, and none of which makes all pairs of a group:
    candidates are left out of that where a pair must share another one too; texts of mostly common shingles
    meet at those by signature trees. So no link is lost.
 
+links() also counts every document's links. All links lie in components, so there each two sets of a component are
+compared exactly, one of each class of equal sets, in tiles of bounded size that are dealt over the tasks; the counts
+are weighed by the sizes of the classes.
+
 Shingles are compared by 64-bit hashes. Null, empty and wordless texts have no shingles and stay alone;
 fewer than five words are one shingle. Rows without doc_id are left out; rows that repeat a doc_id have one
 result, and doc_id must name one text. An empty table gives an empty result. Columns besides doc_id and
@@ -41,6 +45,8 @@ WORDS = 5
 PART_CHARS = 1 << 26
 BLOCK = 1024
 ROUNDS = 4
+#: Shingles of the sets of a tile, about; a tile has about BLOCK sets at most.
+TILE = 1 << 19
 #: A prefix shingle of more candidates than this is common.
 COMMON = 64
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -515,8 +521,8 @@ def _rest(pairs: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach) and component_size."""
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """candidates(docs); the sets of those that may link; and node, label of the sets with links."""
     spark = docs.sparkSession
     small_batches(spark, 2000)
     chars = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
@@ -530,8 +536,17 @@ def components(docs: DataFrame) -> DataFrame:
         left = picked(sets.select("node", "hashes", f"k{r}"), firsts, "node", "firsts")
         edges = stored(edges.unionByName(_block_round(left, f"k{r}")), f"edges{r}")
         drop_stored(left)
-    labels = _rest(_remaining(sets, connected(edges), parts), sets, edges)
+    return info, sets, _rest(_remaining(sets, connected(edges), parts), sets, edges)
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links reach) and component_size."""
+    info, sets, labels = _joined(docs)
     drop_stored(sets)
+    return _named(info, labels)
+
+
+def _named(info: DataFrame, labels: DataFrame) -> DataFrame:
     named = info.where("n > 0").join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("component_size"))
     some = named.join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "component_size")
@@ -539,6 +554,82 @@ def components(docs: DataFrame) -> DataFrame:
     return some.unionByName(none)
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b: products of 0/1 matrices, width shingles at a time."""
+    out = np.zeros((len(a), len(b)), np.float64)
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+
+    def placed(sets):
+        row, h = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
+        there = shared[at] == h if len(shared) else np.zeros(len(h), bool)
+        row, at = row[there], at[there]
+        order = np.argsort(at, kind="stable")
+        return row[order], at[order]
+
+    sides = [(len(x), *placed(x)) for x in (a, b)]
+    for lo in range(0, len(shared), width):
+        both = []
+        for n, row, at in sides:
+            k = slice(*np.searchsorted(at, [lo, lo + width]))
+            m = np.zeros((n, min(width, len(shared) - lo)), np.float32)
+            m[row[k], at[k] - lo] = 1
+            both.append(m)
+        out += both[0] @ both[1].T
+    return out.astype(np.int64)
+
+
+_COUNTS = "node bigint, linked bigint"
+
+
+def _tile_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one tile with another or with itself, or of several small components: for each set how many
+    documents of other sets it links to there."""
+    nodes, counts = [], []
+    for (_, i, j), g in pdf.groupby(["label", "i", "j"]):
+        sets = [np.frombuffer(h, "<u8") for h in g["hashes"]]
+        node, own, n, docs = (g[c].to_numpy() for c in ("node", "tile", "n", "docs"))
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        if not len(x) or not len(y):
+            continue
+        link = linked(overlaps([sets[k] for k in x], [sets[k] for k in y]), n[x][:, None], n[y][None, :])
+        if i == j:
+            np.fill_diagonal(link, False)
+        else:
+            nodes.append(node[y])
+            counts.append(link.T @ docs[x])
+        nodes.append(node[x])
+        counts.append(link @ docs[y])
+    return pd.DataFrame({"node": np.concatenate([*nodes, np.empty(0, np.int64)]).astype(np.int64), "linked": np.concatenate([*counts, np.empty(0, np.int64)]).astype(np.int64)})
+
+
+def _linked_docs(sets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, linked: how many documents of other sets each set links to. A component's sets are dealt over tiles by
+    hash, and each two of its tiles meet in a task; components of one tile share tasks."""
+    slim = stored(sets.select("node", "n").join(labels, "node").join(classes, "node").select("node", "label", "n", F.col("class_size").alias("docs")), "linked")
+    total = slim.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("sum_n"))
+    tiled = stored(total.select("label", "sum_n", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("sum_n") / TILE)).cast("int").alias("tiles")), "tiles")
+    small = tiled.where("tiles = 1").agg(F.coalesce(F.sum("sum_n"), F.lit(0))).head()[0]
+    groups = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-small // TILE))
+    many = slim.join(tiled, "label").withColumn("tile", F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    met = many.withColumn("o", other).select("node", "label", "docs", "tile", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("label"), F.lit(groups))).otherwise(F.col("label")).alias("g"), (F.col("tiles") == 1).alias("one"))
+    full = met.join(sets.select("node", "n", "hashes"), "node")
+    return full.groupBy("one", "g", "i", "j").applyInPandas(_tile_links, _COUNTS).groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest doc_id with an equal set), class_size, n_links (how many other documents it
+    links to), component_id and component_size. Documents of a class have the same links."""
+    info, sets, labels = _joined(docs)
+    classes = stored(info.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")
+    counts = stored(_linked_docs(sets, labels, classes), "counts")
+    drop_stored(sets)
+    of_doc = info.where("n > 0").join(classes, "node").join(counts, "node", "left").select("doc_id", "class_id", "class_size", (F.col("class_size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    one = F.lit(1).cast("bigint")
+    return _named(info, labels).join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", one).alias("class_size"), F.coalesce("n_links", one - 1).alias("n_links"), "component_id", "component_size")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the first of their component; rows without doc_id stay."""
     drop = components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop"))

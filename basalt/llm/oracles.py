@@ -14,6 +14,15 @@ r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT t.y, r.root FROM
 c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, count(*) OVER (PARTITION BY component_id) AS component_size FROM c LEFT JOIN n ON n.doc_id = c.doc_id"""
 
+#: The same, with links counted and equal sets as classes.
+JACCARD_LINKS = f"""
+{JACCARD[: JACCARD.rindex("SELECT c.doc_id")].strip()},
+l AS (SELECT x AS doc_id, count(*) AS n_links FROM t GROUP BY x),
+k AS (SELECT doc_id, list_sort(list(s)) AS k FROM s GROUP BY doc_id),
+g AS (SELECT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS class_size FROM k WINDOW w AS (PARTITION BY k))
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(class_id, c.doc_id) AS class_id, coalesce(class_size, 1) AS class_size, coalesce(n_links, 0) AS n_links, component_id, count(*) OVER (PARTITION BY component_id) AS component_size
+FROM c LEFT JOIN n ON n.doc_id = c.doc_id LEFT JOIN l ON l.doc_id = c.doc_id LEFT JOIN g ON g.doc_id = c.doc_id"""
+
 def secrets_sql() -> str:
     """The secret scan, its models' training included."""
     from basalt.llm import secrets

@@ -92,6 +92,13 @@ def op3_ngram_jaccard_join(spark, sf_dir):
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_ngram_jaccard_links(spark, sf_dir):
+    from basalt.llm import jaccard
+
+    return jaccard.links(table(spark, sf_dir, "documents"))
+
+
 @_query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
@@ -108,3 +115,4 @@ def op2_suffix_array_dedup(spark, sf_dir):
 
 ORACLES["op1_secret_scan"] = oracles.secrets_sql()
 ORACLES["op3_ngram_jaccard_join"] = oracles.JACCARD
+ORACLES["op3_ngram_jaccard_links"] = oracles.JACCARD_LINKS

@@ -123,3 +123,23 @@ def test_query_matches_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     check(spark, rows, QUERIES["op3_ngram_jaccard_join"](spark, sf))
+
+
+def brute_links(rows):
+    s = sets_of(rows)
+    out = {}
+    for i in s:
+        same = [j for j in s if s[j] == s[i]] if s[i] else [i]
+        out[i] = (min(same), len(same), sum(j != i and bool(s[i]) and 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j]) for j in s))
+    return out
+
+
+@pytest.mark.parametrize("tile", [None, 300])
+def test_links_match_brute_force(spark, tile, monkeypatch):
+    if tile:  # components of many tiles
+        monkeypatch.setattr(jaccard, "TILE", tile)
+    rows = corpus(4)
+    chain = [f"r{k}" for k in range(80)]  # the first links to the second, the second to the third, the first not to the third
+    rows += [(10_000 + k, " ".join(chain[4 * k : 4 * k + 50])) for k in range(3)]
+    got = {r.doc_id: (r.class_id, r.class_size, r.n_links) for r in jaccard.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_links(rows) and [got[10_000 + k][2] for k in range(3)] == [1, 2, 1]

@@ -68,3 +68,51 @@ def test_empty(spark):
 def test_query(spark):
     got = QUERIES["op10_licence_scan"](spark, "/root/testdata/sf0.001")
     assert got.count() == 200 and got.columns[0] == "doc_id"
+
+
+MIT_FILE = """The MIT License (MIT)
+
+Copyright (c) 2019 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of
+this software and associated documentation files (the "Software"), to deal in
+the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of
+the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS
+FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+GPL_HEADER = """# This file is part of Thing.
+#
+# Thing is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 2 of the License, or
+# (at your option) any later version.
+#
+# Thing is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+"""
+
+
+def test_real_licences_of_many_lines(spark):
+    folder = licences.Path(licences.__file__).parent / "licence_texts"
+    texts = {f.stem: f.read_text() for f in folder.glob("*.txt")}
+    assert len(texts) == 10
+    code = "def f(x):\n    return x + 1\n" * 200
+    rows = [(i, f"{n}/LICENSE", "Copyright (c) 2020 Some Body\n\n" + t) for i, (n, t) in enumerate(sorted(texts.items()))]
+    rows += [(100 + i, f"{n}/a/b.py", code) for i, n in enumerate(sorted(texts))]
+    rows += [(200, "m/COPYING", MIT_FILE), (201, "m/x/y.py", code), (202, "s/g.py", GPL_HEADER + code), (203, "s/h.py", code), (204, "s/m.c", code + "/*\n" + MIT_FILE.replace("\n", "\n * ") + "*/\n" + code)]
+    got = {r.id: (r.licence, r.origin) for r in licences.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    want = {i: (n, "own") for i, n in enumerate(sorted(texts))} | {100 + i: (n, "inherited") for i, n in enumerate(sorted(texts))}
+    assert got == want | {200: ("MIT", "own"), 201: ("MIT", "inherited"), 202: ("GPL-2.0", "own"), 203: (None, None), 204: ("MIT", "own")}

@@ -22,6 +22,8 @@ from basalt.llm.common import SPACE, configured, drop_stored, picked, shared_dir
 #: Bytes of input for each partition of the state, and the fewest partitions. Every RocksDB instance holds
 #: 4 MB of disk however little state it has, so there is no use in as many as a shuffle has tasks.
 STATE_BYTES, STATE_LEAST = 2 << 30, 8
+#: The stream ignores new files older than the newest seen by more than this: beyond any backfill.
+MAX_FILE_AGE = "36500d"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,7 +44,7 @@ def fold_stream(spark: SparkSession, path: str, files_per_batch: int = 1000, sta
     """
     root = state_dir or f"{shared_dir(spark)}/basalt-stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).select("doc_id", "text").schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", MAX_FILE_AGE)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     partitions = max(STATE_LEAST, fs.getContentSummary(at).getLength() // STATE_BYTES)

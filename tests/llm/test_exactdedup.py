@@ -68,3 +68,18 @@ def test_query_matches_sql(spark):
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
     want = con.execute(ORACLES["op4_exact_dedup"]).fetchall()
     assert sorted(map(tuple, QUERIES["op4_exact_dedup"](spark, "/root/testdata/sf0.01").collect())) == sorted(want)
+
+
+def test_second_run_reads_old_dated_files(spark, tmp_path):
+    import os
+
+    path, state = tmp_path / "docs", str(tmp_path / "state")
+    spark.createDataFrame([(2, "a"), (3, "b")], "doc_id long, text string").coalesce(1).write.parquet(str(path))
+    exactdedup.fold_stream(spark, str(path), state_dir=state)
+    seen = set(path.glob("*.parquet"))
+    spark.createDataFrame([(1, "a"), (4, "c")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(path))
+    for f in set(path.glob("*.parquet")) - seen:
+        os.utime(f, (f.stat().st_mtime - 30 * 86400,) * 2)
+        (path / f".{f.name}.crc").unlink(missing_ok=True)
+    got = exactdedup.fold_stream(spark, str(path), state_dir=state).collect()
+    assert sorted((r.keep_id, r.group_size) for r in got) == [(1, 2), (3, 1), (4, 1)]

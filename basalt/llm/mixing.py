@@ -7,14 +7,14 @@ Pairs meet first within parts of a source of bounded size, then the parts' lefto
 a tree, until one fraction a source is left and is rounded. Each document keeps its expected number of
 copies, and a source's words miss its target by one document's words at most.
 
-Null texts have size 0; documents of size 0 are in the result and take nothing. Null sources are one
+Rows with a null doc_id are documents of their own. Null texts have size 0; documents of size 0 are in the result and take nothing. Null sources are one
 source, last in order. Repeated rows are documents of their own. All randomness comes from hashes of
 doc_id, so reruns agree. Columns besides doc_id, text and source are not read.
 """
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.functions.ordinal import dense_ordinals
@@ -28,9 +28,9 @@ FAN = 4096
 _EPS = 1e-9
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, *more: Column) -> DataFrame:
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source"), words.alias("size"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source"), words.alias("size"), *more)
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -96,9 +96,11 @@ def _level(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def mix(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words, repeats counted) and copies; one row per document."""
-    sized = stored(sizes(docs).withColumn("row", F.monotonically_increasing_id()), "sizes")
+def mix(docs: DataFrame, seed: int = 17, row: str | None = None, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words, repeats counted) and copies; one row per document.
+    row: a column of docs with a number for each row, which the result has too."""
+    sized = sizes(docs, F.col(row).alias("row")) if row else sizes(docs).withColumn("row", F.monotonically_increasing_id())
+    sized = stored(sized, "sizes")
     aims = stored(targets(sized, **options).withColumn("sid", F.monotonically_increasing_id()), "targets")
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     parts = F.greatest(F.ceil(F.col("n_docs") / FAN), F.lit(1))
@@ -125,10 +127,17 @@ def mix(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     for s in settled[1:]:
         extra = extra.unionByName(s)
     copies = (F.col("whole") + F.coalesce(F.col("p").cast("int"), F.lit(0))).cast("bigint")
-    return at.join(extra, "row", "left").select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return at.join(extra, "row", "left").select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *([F.col("row").alias(row)] if row else []))
 
 
-def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """docs as the mix takes them: each row as often as it has copies. doc_id must be unique in docs."""
-    n = mixed.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_n"))
-    return docs.join(n, F.col("doc_id") == F.col("_id")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+def repeated(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs as the mix takes them: each row as often as it has copies. key must be unique in docs; rows that may have
+    a null or repeated doc_id need a row key that mix() carried."""
+    n = mixed.where("copies > 0").select(F.col(key).alias("_id"), F.col("copies").alias("_n"))
+    return docs.join(n, F.col(key).eqNullSafe(F.col("_id"))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """Rows of docs, null and repeated doc_id included, each as often as the mix takes it."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return repeated(rows, mix(rows, row="_row"), "_row").select(*docs.columns)

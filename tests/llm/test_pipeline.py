@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from test_jaccard import brute
 
@@ -53,3 +54,20 @@ def test_run_and_query(spark):
     a = QUERIES["pipeline"](spark, SF)
     assert a.count() > 100 and corpus_pipeline.ORACLE_SQL is None
 
+
+
+def test_null_doc_ids_go_through_all_stages(spark):
+    """Rows without doc_id that the first stages keep are in the mix as often as it has copies of them, and are packed."""
+    from basalt.llm.common import stored
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    odd = docs.where("doc_id is not null").orderBy(F.length("text").desc()).limit(40).withColumn("doc_id", F.lit(None).cast("bigint")).withColumn("text", F.concat("text", F.lit(" alone")))
+    out = docs.unionByName(odd)
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "mixing sources":
+            want = mixing.mix(out).where("doc_id is null").agg(F.sum("copies")).head()[0]
+        out = stored(stage(spark, out, d), "stage")
+        counts.append(out.where("doc_id is null").count())
+    assert want > 0 and all(counts) and counts[3] == want

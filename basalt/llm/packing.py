@@ -141,11 +141,12 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 # -- the search ------------------------------------------------------------------
 
 
-def fillings(room: int, counts: dict[int, int], lengths: list[int], limit: int = 400) -> list[tuple[tuple[int, int], ...]]:
-    """Fillings ((length, how often), ...) of room, least waste first, larger pieces first among equals.
+def fillings(room: int, counts: dict[int, int], lengths: list[int], limit: int = 400, every: bool = False) -> tuple[list[tuple[tuple[int, int], ...]], bool, int]:
+    """Fillings ((length, how often), ...) of room, least waste first, larger pieces first among equals; whether these
+    are all; and the steps taken.
 
     A filling is left out if another length fits beside it: the fuller one dominates it. Enumeration takes
-    longer lengths first and stops after limit fillings, or at once when nothing is wasted."""
+    longer lengths first and stops after limit fillings or 20 * limit steps, or, unless every is set, at once when nothing is wasted."""
     found: list[tuple[int, tuple]] = []
     fit = [x for x in lengths if x <= room]
     smallest = fit[-1] if fit else 0
@@ -156,7 +157,7 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], limit: int =
         if left == 0 or not fit or left < smallest or k == len(fit):
             if not any(x <= left and counts[x] > dict(chosen).get(x, 0) for x in (fit if left else ())):
                 found.append((left, chosen))
-            return left == 0 or len(found) >= limit or steps[0] > 20 * limit
+            return left == 0 and not every or len(found) >= limit or steps[0] > 20 * limit
         x = fit[k]
         if x > left:  # skip to the first length that fits
             lo, hi = k, len(fit)
@@ -174,14 +175,36 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], limit: int =
     old = sys.getrecursionlimit()
     sys.setrecursionlimit(max(old, 4 * len(fit) + 1000))
     try:
-        go(0, room, ())
+        stopped = go(0, room, ())
     finally:
         sys.setrecursionlimit(old)
-    return [c for _, c in sorted(found, key=lambda f: (f[0], [-x for x, n in f[1] for _ in range(min(n, 8))]))] or [()]
+    best = [c for _, c in sorted(found, key=lambda f: (f[0], [-x for x, n in f[1] for _ in range(min(n, 8))]))]
+    return best or [()], not stopped, steps[0]
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Best-fit decreasing over the histogram: an incumbent for the search."""
+    """Best-fit decreasing over the histogram: each piece, longest first, goes to the fullest sequence that has room.
+    Sequences of equal filling are one entry; a sequence that takes one piece of a length takes all that fit."""
+    open_: dict[int, dict[tuple, int]] = {}  # room: sequences by filling
+    for x in sorted((x for x, n in counts.items() if n), reverse=True):
+        n = counts[x]
+        for room in [r for r in sorted(open_) if r >= x] + [capacity]:
+            k = room // x
+            groups = list(open_.pop(room, {}).items()) if room < capacity else [((), n)]
+            for filling, c in groups:
+                full = min(c, n // k)
+                rest = min(n - full * k, k - 1) if c > full else 0
+                n -= full * k + rest
+                for m, took in ((full, k), (1 if rest else 0, rest), (0 if room == capacity else c - full - (rest > 0), 0)):
+                    if m:
+                        after = open_.setdefault(room - took * x, {})
+                        key = (*filling, (x, took)) if took else filling
+                        after[key] = after.get(key, 0) + m
+    return [(f, m) for groups in open_.values() for f, m in groups.items()]
+
+
+def longest_first(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """First-fit decreasing over the histogram, a sequence at a time: another incumbent."""
     left, out = {x: n for x, n in counts.items() if n}, []
     lengths = sorted(left, reverse=True)
     while lengths:
@@ -203,37 +226,46 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000,
     """Patterns [(((length, how often), ...), times)] that use up counts in few sequences.
 
     Depth first over the fillings of the largest length left, fewest sequences first found by best fit. A
-    branch ends when its waste so far leaves it no better than the incumbent; the search ends at the lower
-    bound ceil(total / capacity) or after `nodes` nodes."""
+    branch ends when its waste so far leaves it no better than the incumbent. The first pass takes `branches`
+    fillings a node; each next pass three times as many, out of three times as long an enumeration, until no filling
+    was left out. The search ends at the lower bound ceil(total / capacity) or after `nodes` nodes in all passes; 8000
+    steps of enumeration count as a node."""
     counts = {x: n for x, n in counts.items() if n}
     total = sum(x * n for x, n in counts.items())
     bound = -(-total // capacity)
-    best = best_fit(counts, capacity)
+    best = min((f(counts, capacity) for f in (best_fit, longest_first)), key=lambda p: sum(t for _, t in p))
     best_n = sum(t for _, t in best)
-    stack = [(counts, (), 0)]  # counts left, chain of patterns (pattern, times, before), sequences used
-    seen = 0
-    while stack and best_n > bound and seen < nodes:
-        left, chain, used = stack.pop()
-        seen += 1
-        rest = sum(x * n for x, n in left.items())
-        if used + -(-rest // capacity) >= best_n:
-            continue
-        if not left:
-            best_n, best = used, []
-            while chain:
-                best.append(chain[:2])
-                chain = chain[2]
-            continue
-        top = max(left)
-        one = dict(left)
-        one[top] -= 1
-        lengths = sorted((x for x, n in one.items() if n), reverse=True)
-        for f in reversed(fillings(capacity - top, one, lengths)[:branches]):
-            pattern = dict(f)
-            pattern[top] = pattern.get(top, 0) + 1
-            times = min(left[x] // n for x, n in pattern.items())
-            after = {x: n for x, n in ((x, n - times * pattern.get(x, 0)) for x, n in left.items()) if n}
-            stack.append((after, (tuple(sorted(pattern.items(), reverse=True)), times, chain), used + times))
+    seen, limit, first, whole = 0.0, 400, True, False
+    while best_n > bound and seen < nodes and not whole:
+        whole, stack = True, [(counts, (), 0)]  # counts left, chain of patterns (pattern, times, before), sequences used
+        while stack and best_n > bound and seen < nodes:
+            left, chain, used = stack.pop()
+            seen += 1
+            rest = sum(x * n for x, n in left.items())
+            if used + -(-rest // capacity) >= best_n:
+                continue
+            if not left:
+                best_n, best = used, []
+                while chain:
+                    best.append(chain[:2])
+                    chain = chain[2]
+                continue
+            top = max(left)
+            one = dict(left)
+            one[top] -= 1
+            lengths = sorted((x for x, n in one.items() if n), reverse=True)
+            found, complete, steps = fillings(capacity - top, one, lengths, limit, not first)
+            seen += steps / 8000 if not first else 0
+            whole = whole and complete and len(found) <= branches
+            for f in reversed(found[:branches]):
+                pattern = dict(f)
+                pattern[top] = pattern.get(top, 0) + 1
+                most = min(left[x] // n for x, n in pattern.items())
+                whole = whole and (most == 1 or not first)
+                for times in (most,) if first or most == 1 else (1, most):
+                    after = {x: n for x, n in ((x, n - times * pattern.get(x, 0)) for x, n in left.items()) if n}
+                    stack.append((after, (tuple(sorted(pattern.items(), reverse=True)), times, chain), used + times))
+        first, branches, limit = False, 3 * branches, 3 * limit
     return best
 
 

@@ -97,3 +97,34 @@ def test_solver_matches_brute_force():
 
 def test_query(spark):
     assert QUERIES["op9_best_fit_packing"](spark, "/root/testdata/sf0.001").select("doc_id").distinct().count() == 200
+
+
+def test_search_at_production_defaults():
+    rnd = random.Random(9)
+    cases = [(2048, [1104, 997, 895, 838, 828, 774, 553, 550, 541, 465, 375])]
+    cases += [(2048, [rnd.randint(300, 1200) for _ in range(rnd.randint(6, 11))]) for _ in range(60)]
+    for cap, lengths in cases:
+        counts = {x: lengths.count(x) for x in lengths}
+        for sol, least in ((packing.solve(counts, cap), fewest(lengths, cap)), (packing.best_fit(counts, cap), 0)):
+            used = {}
+            for pattern, times in sol:
+                assert sum(x * n for x, n in pattern) <= cap
+                for x, n in pattern:
+                    used[x] = used.get(x, 0) + n * times
+            assert used == counts and (not least or sum(t for _, t in sol) == least)
+
+
+def test_best_fit_takes_the_fullest_sequence():
+    rnd = random.Random(10)
+    for _ in range(200):
+        cap = rnd.choice([10, 50, 200])
+        lengths = sorted((rnd.randint(1, cap) for _ in range(rnd.randint(1, 60))), reverse=True)
+        rooms = []
+        for x in lengths:
+            fit = [k for k, r in enumerate(rooms) if r >= x]
+            if fit:
+                rooms[min(fit, key=lambda k: rooms[k])] -= x
+            else:
+                rooms.append(cap - x)
+        got = packing.best_fit({x: lengths.count(x) for x in lengths}, cap)
+        assert sorted(cap - sum(x * n for x, n in p) for p, t in got for _ in range(t)) == sorted(rooms)

@@ -1,9 +1,10 @@
-"""Suffix-array dedup: removes repeated substrings, found by distributed prefix doubling.
+"""Suffix-array dedup: removes repeated substrings, found by sampled hash anchors in place of
+distributed prefix doubling: no ranks are reassigned over the corpus, and no suffix order comes out.
 
 Each byte goes that a string of LENGTH bytes covers which also starts in a document of smaller doc_id.
 Ranks double inside each text: the rank of 2k bytes at a position is that of the pair of ranks of k bytes at
-the position and k further on, kept as a 64-bit hash of the pair. Spark sorts (rank, position) by rank at
-growing lengths, and positions go as soon as their rank is unique:
+the position and k further on, kept as a 64-bit hash of the pair. Spark groups ranks by part of the
+hash space, numpy sorts inside a part, and positions go as soon as their rank is unique:
 
 1. At ANCHOR bytes only a sample of positions is ranked: of the positions whose ANCHOR bytes lie in a string
    of LENGTH, the one with the smallest rank. Equal strings have it at the same place, so a string that

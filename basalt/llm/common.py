@@ -2,10 +2,13 @@
 from __future__ import annotations
 
 import contextlib
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +19,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where none is set (tests), a temporary one."""
+    """The folder named in spark.checkpoint.dir. Where none is named, a temporary one if all of Spark runs in one
+    process, as in tests; on a cluster that is refused, as executors would write to folders of their own."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="basalt-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
@@ -42,6 +48,13 @@ def drop_stored(*frames: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of steps that are over: its cleaner waits for the driver's garbage
+    collection, which a driver with little to do puts off while executors' disks fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def configured(spark: SparkSession, **values: str):
     """Session settings for as long as a step runs."""
@@ -75,9 +88,30 @@ def ids_and_bytes(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
     yield from zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), (b or b"" for b in col.to_pylist()), strict=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of few rows: texts can be long, and a Python worker holds a batch at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_batches(spark: SparkSession, size: int = 8 << 20):
+    """Arrow batches bounded in bytes for as long as a step runs: texts can be long, and a worker holds a batch at a time."""
+    return configured(spark, **{"spark.sql.execution.arrow.maxBytesPerBatch": f"{size}b"})
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Each 64-bit number's bits spread over all others."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def batch_of(**columns) -> pa.RecordBatch:
+    """An Arrow batch of numpy arrays or Arrow arrays."""
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
 
 def crc_mod(doc_id, n: int):

@@ -110,7 +110,7 @@ def pipeline(spark, sf_dir):
 def op2_suffix_array_dedup(spark, sf_dir):
     from basalt.llm import substrings
 
-    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return substrings.summary(table(spark, sf_dir, "documents"))
 
 
 ORACLES["op1_secret_scan"] = oracles.secrets_sql()

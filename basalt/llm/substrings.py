@@ -1,51 +1,51 @@
-"""Suffix-array dedup: removes repeated substrings, found by sampled hash anchors in place of
-distributed prefix doubling: no ranks are reassigned over the corpus, and no suffix order comes out.
-
-Each byte goes that a string of LENGTH bytes covers which also starts in a document of smaller doc_id.
-Ranks double inside each text: the rank of 2k bytes at a position is that of the pair of ranks of k bytes at
-the position and k further on, kept as a 64-bit hash of the pair. Spark groups ranks by part of the
-hash space, numpy sorts inside a part, and positions go as soon as their rank is unique:
-
-1. At ANCHOR bytes only a sample of positions is ranked: of the positions whose ANCHOR bytes lie in a string
-   of LENGTH, the one with the smallest rank. Equal strings have it at the same place, so a string that
-   another document has holds an anchor whose rank another document has. Sorted by rank, in parts of the
-   hash space, the anchors that no other document has drop out: nearly all.
-   Along with it goes the rank of all that the strings of LENGTH with that anchor can hold, its surroundings:
-   where an earlier document has equal surroundings, all those strings are doomed at once.
-2. Anchors that are the first with their surroundings, while others share their rank with other
-   surroundings, take their strings' own ranks; each string's rank gets the smallest doc_id that has it.
-   That is past the threshold of LENGTH.
-
-Then each document removes what its doomed strings cover. Ranks are 64-bit hashes: two different strings
-share one with a probability of 2^-64 a pair.
-
-Null and empty texts, and texts below LENGTH, lose nothing. Rows without doc_id are left out; doc_id must
-name one text, and rows that repeat it have one result. An empty table gives an empty result. Columns besides
-doc_id and text are not read.
+"""Suffix-array dedup: removes repeated substrings by distributed prefix doubling over sampled positions.
+
+Each byte goes that a string of LENGTH bytes covers which also starts in a document of smaller doc_id. Spark sorts
+rows of rank and position, in rounds at growing lengths, 18, 34, 50 and 82 bytes; a round ranks again what the one before
+left, and positions whose rank only one document has drop out. The rank of 2k bytes at a position is that of the
+pair of ranks of k bytes at the position and k further on. A rank is named by a 64-bit hash of the pair, so texts'
+own ranks double where the text is, and only the sorting and dropping goes over the cluster.
+
+Rows for every byte would be some 20 times the texts. So the first round ranks a sample: of the positions whose ANCHOR
+bytes lie in a string of LENGTH, the one with the smallest rank (all of equal ones). Equal strings have it at the same
+place, so a string that another document has holds only anchors whose rank another document has.
+
+1. 18 bytes: rows of all anchors; those of one document drop out.
+2. 82 bytes: all that the strings around an anchor can hold, its surroundings. Where a smaller doc_id has equal
+   ones, all those strings are doomed at once, so of a group of copies only the first goes on; and it only if its
+   anchor's rank has other surroundings too.
+3. 34 bytes: of these anchors the 16 bytes more to the left and to the right. A string reaches over one of them.
+4. 50 bytes, the threshold: the strings left, those whose anchor has not dropped out; doomed where a smaller doc_id has
+   the same. Ranks of these have 96 bits, those of the second round 128.
+
+Before each sort a task settles what it can among its own rows, and sends one row for a key that many of them share, so a passage
+in a third of all documents costs its key's task a row for each batch of texts. Sorted rows are read as a stream.
+
+Null and empty texts, texts below LENGTH and rows without doc_id lose nothing, and the latter take nothing from
+others. doc_id must name one text; rows that repeat it have the same result. An empty table gives an empty result. Columns
+besides doc_id and text are not read. Long texts are ranked in slices.
 """
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import drop_stored, ids_and_bytes, small_batches, stored, texts
+from basalt.llm.common import batch_of, drop_stored, ids_and_bytes, mix, picked, release, runs, stored, text_batches, texts
 
 LENGTH = 50
 ANCHOR = 18
-#: Bytes of text for each part of the hash space.
-PART_BYTES = 1 << 24
+#: Bytes of a long text that are ranked at once, each taking about a hundred bytes of memory.
+SLICE = 1 << 20
+#: Rows that a task settles among themselves before the rest is sent.
+BUFFER = 1 << 19
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+_SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Ranks:
@@ -53,7 +53,7 @@ class Ranks:
     digits of k, as ranks of powers of two at growing offsets."""
 
     def __init__(self, data: np.ndarray):
-        self.power = {1: _mix(data.astype(np.uint64) + np.uint64(1))}
+        self.power = {1: mix(data.astype(np.uint64) + np.uint64(1))}
         self.factor = {1: _MUL}
 
     def _double(self, k: int) -> None:
@@ -63,7 +63,7 @@ class Ranks:
             self.power[k] = h[: len(h) - k // 2] * f + h[k // 2 :] if len(h) > k // 2 else h[:0]
             self.factor[k] = np.uint64(int(f) ** 2 & 0xFFFFFFFFFFFFFFFF)
 
-    def of(self, k: int) -> np.ndarray:
+    def raw(self, k: int) -> np.ndarray:
         out, at, bit = None, 0, 1 << k.bit_length()
         while bit:
             if k & bit:
@@ -72,7 +72,10 @@ class Ranks:
                 out = h if out is None else out[: max(0, len(h) - at)] * self.factor[bit] + h[at:][: len(out)]
                 at += bit
             bit >>= 1
-        return _mix(out)
+        return out
+
+    def of(self, k: int) -> np.ndarray:
+        return mix(self.raw(k))
 
 
 def _window(a: np.ndarray, w: int, f) -> np.ndarray:
@@ -93,223 +96,383 @@ def anchors(ranks: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(_window(np.concatenate([pad, least, pad]), w, np.maximum) == ranks)
 
 
-def anchors_of(t: bytes, length: int) -> tuple[np.ndarray, np.ndarray, Ranks | None]:
-    """Positions of a text's anchors, their ranks, and the ranks of all its positions."""
-    if len(t) < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), None
-    r = Ranks(np.frombuffer(t, np.uint8))
-    h = r.of(ANCHOR)
-    at = anchors(h, length - ANCHOR + 1)
-    return at, h[at], r
+class Slice:
+    """A stretch of a text: positions lo to hi are its own, bytes from base on include all that their strings hold."""
 
+    def __init__(self, t: bytes, lo: int, length: int):
+        self.lo, self.hi, self.base = lo, min(len(t), lo + SLICE), max(0, lo - 2 * length)
+        self.bytes = t if len(t) <= SLICE else t[self.base : lo + SLICE + 2 * length]
+        self.ranks, self.length = Ranks(np.frombuffer(self.bytes, np.uint8)), length
 
-def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors, from base, and their ranks."""
+        h = self.ranks.of(ANCHOR)
+        at = anchors(h, self.length - ANCHOR + 1)
+        at = at[(at >= self.lo - self.base) & (at < self.hi - self.base)]
+        return at, h[at]
 
+    def surroundings(self, at: np.ndarray) -> np.ndarray:
+        """Ranks of what the strings around each anchor can hold, cut at the text's ends."""
+        reach = self.length - ANCHOR
+        lo, hi = np.maximum(at - reach, 0), np.minimum(at + self.length, len(self.bytes))
+        whole = hi - lo == self.length + reach
+        out = np.empty(len(at), np.uint64)
+        if whole.any():
+            out[whole] = self.ranks.of(self.length + reach)[lo[whole]]
+        for i in np.flatnonzero(~whole):
+            out[i] = xxhash.xxh3_64_intdigest(self.bytes[lo[i] : hi[i]] + bytes([at[i] - lo[i]]))
+        return out
 
-_BLOBS = "part int, a binary, b binary, c binary"
+    def reaching(self, at: np.ndarray, left: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the bytes from left before each anchor to half of what is missing to LENGTH, and which are there."""
+        h = self.ranks.of(ANCHOR + half(self.length))
+        from_ = at - left
+        there = (from_ >= 0) & (from_ < len(h))
+        return mix(h[np.where(there, from_, 0)] + np.uint64(left)) if len(h) else np.zeros(len(at), np.uint64), there
 
 
-def _blobs(rows) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "a", "b", "c"])
+def half(length: int) -> int:
+    return (length - ANCHOR) // 2
 
 
-def surroundings(t: bytes, at: np.ndarray, ranks: Ranks, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranks, first and last byte of what the strings around each anchor can hold, cut at the text's ends."""
-    reach = length - ANCHOR
-    lo, hi = np.maximum(at - reach, 0), np.minimum(at + length, len(t))
-    whole = hi - lo == length + reach
-    out = np.empty(len(at), np.uint64)
-    if whole.any():
-        out[whole] = ranks.of(length + reach)[lo[whole]]
-    for i in np.flatnonzero(~whole):
-        out[i] = xxhash.xxh3_64_intdigest(t[lo[i] : hi[i]] + bytes([at[i] - lo[i]]))
-    return out, lo, hi
+def slices(t: bytes, length: int) -> Iterator[Slice]:
+    if len(t) >= length:
+        for lo in range(0, len(t), SLICE):
+            yield Slice(t, lo, length)
 
 
-_LOW = np.uint64(0xFFFFFFFF)
+# -- rounds of sorting -------------------------------------------------------------------
 
 
-def _sampled(docs: DataFrame, parts: int, length: int) -> DataFrame:
-    """Anchors by part of the hash space: of each document with some there, doc_id and how many; and of each anchor
-    the low halves of its rank and of its surroundings' rank."""
+class Buffer:
+    """Rows (key, sub, doc, more columns) of a task; flush() settles among them and returns the batches to send: rows to
+    be sorted (starts null), and what is settled: positions (starts) by document."""
 
-    def sample(batches):
-        ids, ranks, around, owner, held = [], [], [], [], 0
+    def __init__(self, settle: Callable, columns: dict):
+        self.settle, self.columns, self.rows, self.held = settle, columns, [], 0
 
-        def rows():
-            h, c, own, doc = np.concatenate(ranks), np.concatenate(around), np.concatenate(owner), np.array(ids, np.int64)
-            part = _part_of(h, parts)
-            order = np.argsort(part, kind="stable")
-            part, own, low = part[order], own[order], np.stack([h & _LOW, c & _LOW])[:, order].astype("<u4")
-            edges = np.searchsorted(part, np.arange(parts + 1))
-            out = []
-            for k in range(parts):
-                lo, hi = edges[k], edges[k + 1]
-                if lo < hi:
-                    u, n = np.unique(own[lo:hi], return_counts=True)
-                    out.append((k, doc[u].astype("<i8").tobytes(), n.astype("<i4").tobytes(), low[:, lo:hi].tobytes()))
-            return _blobs(out)
+    def add(self, *cols: np.ndarray) -> None:
+        self.rows.append(cols)
+        self.held += len(cols[0])
 
-        for b in batches:
-            for i, t in ids_and_bytes(b):
-                at, h, r = anchors_of(t, length)
-                if len(h):
-                    ranks.append(h)
-                    around.append(surroundings(t, at, r, length)[0])
-                    owner.append(np.full(len(h), len(ids), np.int32))
-                    ids.append(i)
-                    held += len(h)
-                if held > 300_000:
-                    yield rows()
-                    ids, ranks, around, owner, held = [], [], [], [], 0
-        if held:
-            yield rows()
-
-    return texts(docs).where("doc_id is not null").mapInArrow(sample, _BLOBS)
-
-
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin."""
-    new = np.zeros(len(keys[0]), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new)
-
-
-def _flags(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one part: of each document with any, which of its anchors there (in order, as bits) are doomed with their
-    surroundings, and which need the ranks of their strings."""
-    ids, n = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("a", "<i8"), ("b", "<i4")))
-    h, c = np.concatenate([np.frombuffer(x, "<u4").reshape(2, -1) for x in pdf["c"]], 1)
-    who = np.repeat(ids, n)
-    order = np.lexsort((c, h))
-    h, c, who = h[order], c[order], who[order]
-    of_anchor, of_around = _runs(h), _runs(h, c)
-    size = lambda first: np.diff(np.concatenate([first, [len(h)]]))
-    first_doc = np.repeat(np.minimum.reduceat(who, of_around), size(of_around))
-    docs_differ = np.minimum.reduceat(who, of_anchor) != np.maximum.reduceat(who, of_anchor)
-    kinds = np.diff(np.searchsorted(of_around, np.concatenate([of_anchor, [len(h)]])))
-    open_ = np.repeat(docs_differ & (kinds > 1), size(of_anchor))
-    doomed, more = np.zeros(len(h), bool), np.zeros(len(h), bool)
-    doomed[order] = who > first_doc
-    more[order] = (who == first_doc) & open_
-    ends = np.cumsum(n)
-    some = np.add.reduceat((doomed | more).astype(np.int64), ends - n) > 0
-    rows = [(np.packbits(doomed[e - k : e]).tobytes(), np.packbits(more[e - k : e]).tobytes()) for e, k in zip(ends[some], n[some], strict=True)]
-    return pd.DataFrame({"doc_id": ids[some], "part": np.full(some.sum(), pdf["part"].iloc[0], np.int32), "doomed": [r[0] for r in rows], "more": [r[1] for r in rows]})
-
-
-_STARTS = "part int, doc_id bigint, starts binary, ranks binary, at binary, ends binary, around binary"
-
-
-def _second_pass(docs: DataFrame, flags: DataFrame, parts: int, length: int) -> DataFrame:
-    """Of each flagged document the starts of strings that are doomed with their anchors' surroundings (part -1), and
-    by part the anchors that need more: their ranks, places, and surroundings as bytes."""
+    def flush(self) -> pa.RecordBatch:
+        cols = [np.concatenate(c) for c in zip(*self.rows, strict=True)]
+        self.rows, self.held = [], 0
+        order = np.lexsort((cols[2], cols[1], cols[0]))
+        cols = [c[order] for c in cols]
+        send, done = self.settle(*cols[:3])
+        doc, start = cols[2][done], cols[3][done]
+        order = np.argsort(doc, kind="stable")
+        doc, start = doc[order], start[order].astype("<i4")
+        at = runs(doc)
+        blobs = [x.tobytes() for x in np.split(start, at[1:])] if len(doc) else []
+        none = np.zeros(len(blobs), np.int64)
+        out = {n: np.concatenate([c[send].astype(t), none.astype(t)]) for (n, t), c in zip(self.columns.items(), cols, strict=True)}
+        out["key"][len(out["key"]) - len(blobs) :] = mix(doc[at].astype(np.uint64)).view(np.int64)
+        out["doc_id"][len(out["doc_id"]) - len(blobs) :] = doc[at]
+        return batch_of(**out, starts=pa.array([None] * int(send.sum()) + blobs, pa.binary()))
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for (i, t), marks in zip(ids_and_bytes(b), b.column("marks").to_pylist(), strict=True):
-                at, h, r = anchors_of(t, length)
-                part = _part_of(h, parts)
-                doomed, more = np.zeros(len(at), bool), np.zeros(len(at), bool)
-                for m in marks:
-                    mine = np.flatnonzero(part == m["part"])
-                    for name, to in (("doomed", doomed), ("more", more)):
-                        to[mine] = np.unpackbits(np.frombuffer(m[name], np.uint8), count=len(mine)).astype(bool)
-                if r is None:
-                    continue
-                _, lo, hi = surroundings(t, at, r, length)
-                starts = [np.arange(x, y - length + 1) for x, y in zip(lo[doomed], hi[doomed], strict=True)]
-                if starts:
-                    rows.append((-1, i, np.unique(np.concatenate(starts)).astype("<i4").tobytes(), None, None, None, None))
-                for k in np.unique(part[more]):
-                    x = np.flatnonzero(more & (part == k))
-                    rows.append((int(k), i, None, h[x].astype("<u8").tobytes(), lo[x].astype("<i4").tobytes(), np.cumsum(hi[x] - lo[x]).astype("<i4").tobytes(), b"".join(t[lo[j] : hi[j]] for j in x)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["part", "doc_id", "starts", "ranks", "at", "ends", "around"])
-
-    marks = flags.groupBy("doc_id").agg(F.collect_list(F.struct("part", "doomed", "more")).alias("marks"))
-    joined = texts(docs).where("doc_id is not null").join(marks, "doc_id").select("doc_id", "text", "marks")
-    return joined.mapInArrow(run, _STARTS)
-
-
-#: Bytes of surroundings that are ranked at once; each takes about a hundred bytes of memory.
-_SLICE = 1 << 20
-
-
-def _string_ranks(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Of one part: the starts, in each document, of strings that a document of smaller doc_id has."""
-    out: dict[int, list] = {}
-    slices = 1 + sum(map(len, pdf["around"])) // _SLICE
-    ranks = [np.frombuffer(x, "<u8") for x in pdf["ranks"]]
-    for k in range(slices):  # equal strings have equal anchors, so they are in one slice
-        data, doc, start, base, held = [], [], [], [], 0
-        for i, h, at, ends, around in zip(pdf["doc_id"], ranks, pdf["at"], pdf["ends"], pdf["around"], strict=True):
-            e = np.frombuffer(ends, "<i4")
-            for j in np.flatnonzero(h % np.uint64(slices) == k):
-                lo = e[j - 1] if j else 0
-                data.append(around[lo : e[j]])
-                n = len(data[-1]) - length + 1
-                doc.append(np.full(n, i, np.int64))
-                start.append(np.frombuffer(at, "<i4")[j] + np.arange(n))
-                base.append(held + np.arange(n))
-                held += len(data[-1])
-        if not data:
+
+def _by_run(key, sub, doc):
+    """For rows sorted by (key, sub, doc): where their (key, sub) begins, and its first and last doc."""
+    first = runs(key, sub)
+    size = np.diff(np.concatenate([first, [len(key)]]))
+    return np.repeat(doc[first], size), np.repeat(doc[first + size - 1], size), first
+
+
+def _settle_shared(key, sub, doc):
+    """Keys of several documents here are shared: all their rows are settled, and one goes on for others to meet."""
+    least, most, first = _by_run(key, sub, doc)
+    done = least != most
+    send = ~done
+    send[first] = True
+    return send, done
+
+
+def _settle_doomed(key, sub, doc):
+    """Rows are doomed if a smaller doc_id has their key here; the others go on."""
+    least, _, _ = _by_run(key, sub, doc)
+    return doc == least, doc > least
+
+
+def _sorted(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt by key and sorted in each task."""
+    return rows.repartition("key").sortWithinPartitions("key", *by)
+
+
+def _rows_of(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Positions by document, for rows in any order."""
+    order = np.argsort(doc, kind="stable")
+    doc, start = doc[order], start[order].astype("<i4")
+    at = runs(doc)
+    return batch_of(doc_id=doc[at].astype(np.int64), starts=pa.array([x.tobytes() for x in np.split(start, at[1:])] if len(doc) else [], pa.binary()))
+
+
+def _settled(b: pa.RecordBatch) -> tuple[pa.RecordBatch | None, dict[str, np.ndarray]]:
+    """What a batch has settled, and the other rows' columns."""
+    blobs = b.column(b.schema.get_field_index("starts"))
+    aside = np.asarray(blobs.is_valid())
+    cols = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names if n != "starts"}
+    passing = batch_of(doc_id=cols["doc_id"][aside], starts=blobs.filter(pa.array(aside))) if aside.any() else None
+    return passing, {n: c[~aside] for n, c in cols.items()}
+
+
+_FOUND = "doc_id bigint, starts binary"
+
+
+def _shared(batches):
+    """Positions whose key has another document, by document; of rows sorted by (key, doc_id)."""
+    kept, known = None, None
+    for b in batches:
+        passing, cols = _settled(b)
+        if passing is not None:
+            yield passing
+        key, doc, at = (cols[n] if kept is None else np.concatenate([kept[n], cols[n]]) for n in ("key", "doc_id", "at"))
+        if not len(key):
             continue
-        doc, start = np.concatenate(doc), np.concatenate(start)
-        r = Ranks(np.frombuffer(b"".join(data), np.uint8)).of(length)[np.concatenate(base)]
-        order = np.argsort(r, kind="stable")
-        first = _runs(r[order])
-        least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.concatenate([first, [len(r)]])))
-        bad = order[doc[order] > least]
-        by = bad[np.lexsort((start[bad], doc[bad]))]
-        for x in np.split(by, _runs(doc[by])[1:]) if len(by) else []:
-            out.setdefault(int(doc[x[0]]), []).append(np.unique(start[x]))
-    return pd.DataFrame({"doc_id": np.array(list(out), np.int64), "starts": [np.unique(np.concatenate(v)).astype("<i4").tobytes() for v in out.values()]})
-
-
-def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of n bytes the strings at starts cover."""
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + length, -1)
-    return np.cumsum(step[:-1]) > 0
+        least, most, first = _by_run(key, key, doc)
+        hit = (least != most) | (key == known if known is not None else False)
+        open_ = (key == key[-1]) & ~hit  # its run may go on in the next batch
+        if hit[-1]:
+            known = key[-1]
+        kept = {"key": key[open_], "doc_id": doc[open_], "at": at[open_]}
+        if hit.any():
+            yield _rows_of(doc[hit], at[hit])
+
+
+def _doomed(batches):
+    """Positions whose (key, sub) has a smaller doc_id, by document; of rows sorted by (key, sub, doc_id)."""
+    last = None
+    for b in batches:
+        passing, cols = _settled(b)
+        if passing is not None:
+            yield passing
+        key, sub, doc, at = (cols[n] for n in ("key", "sub", "doc_id", "at"))
+        if not len(key):
+            continue
+        least, _, _ = _by_run(key, sub, doc)
+        if last is not None and last[:2] == (key[0], sub[0]):
+            least = np.where((key == key[0]) & (sub == sub[0]), last[2], least)
+        last = (key[-1], sub[-1], least[-1])
+        if (hit := doc > least).any():
+            yield _rows_of(doc[hit], at[hit])
 
 
-def doomed_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id and starts: of each document that has any, where its doomed strings start (32-bit integers)."""
-    small_batches(docs.sparkSession, 1000)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    parts = max(8, size // PART_BYTES)
-    flags = stored(_sampled(docs, parts, length).groupBy("part").applyInPandas(_flags, "doc_id bigint, part int, doomed binary, more binary"), "flags")
-    found = stored(_second_pass(docs, flags, parts, length), "found")
-    drop_stored(flags)
+_RANKED = "doc_id bigint, starts binary, at int, l bigint, r bigint"
 
-    def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _string_ranks(pdf, length)
 
-    own = found.where("part >= 0").select("part", "doc_id", "ranks", "at", "ends", "around").groupBy("part").applyInPandas(ranked, "doc_id bigint, starts binary")
-    every = stored(found.where("part < 0").select("doc_id", "starts").unionByName(own), "starts")
-    drop_stored(found)
-    return every.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+def _ranked(batches):
+    """Of anchors sorted by (key, sub, doc_id), sub ranking their surroundings: the doomed, by document; and a row for each that is
+    the first with its surroundings while its key has others, with its ranks to the left and right."""
 
+    def opened(rows):
+        n = len(rows["key"])
+        return batch_of(doc_id=rows["doc_id"], starts=pa.nulls(n, pa.binary()), at=rows["at"].astype(np.int32), l=rows["l"], r=rows["r"])
+
+    def doomed(found: pa.RecordBatch):
+        n = found.num_rows
+        return batch_of(doc_id=found.column(0), starts=found.column(1), at=pa.nulls(n, pa.int32()), l=pa.nulls(n, pa.int64()), r=pa.nulls(n, pa.int64()))
+
+    last, kept, several = None, None, None
+    names = ("key", "sub", "doc_id", "at", "l", "r")
+    for b in batches:
+        passing, cols = _settled(b)
+        if passing is not None:
+            yield doomed(passing)
+        key, sub, doc, at = (cols[n] for n in names[:4])
+        if not len(key):
+            continue
+        least, _, _ = _by_run(key, sub, doc)
+        if last is not None and last[:2] == (key[0], sub[0]):
+            least = np.where((key == key[0]) & (sub == sub[0]), last[2], least)
+        last = (key[-1], sub[-1], least[-1])
+        if (hit := doc > least).any():
+            yield doomed(_rows_of(doc[hit], at[hit]))
+        rows = {n: cols[n][~hit] for n in names}
+        if kept is not None:
+            rows = {n: np.concatenate([kept[n], rows[n]]) for n in names}
+        k = rows["key"]
+        if not len(k):
+            continue
+        least, most, _ = _by_run(k, k, rows["sub"])  # first and last surroundings of each key
+        go = (least != most) | (k == several if several is not None else False)
+        if go[-1]:
+            several = k[-1]
+        wait = (k == k[-1]) & ~go
+        kept = {n: rows[n][wait] for n in names}
+        if go.any():
+            yield opened({n: rows[n][go] for n in names})
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, kept_text (the bytes left), n_bytes, n_removed, n_spans and kept_sha256 of each document."""
-    starts = doomed_starts(docs, length)
 
+# -- the four rounds -----------------------------------------------------------------------
+
+
+def _flushed(batches, buffer: Buffer, rows: Callable):
+    """Batches that rows(doc_id, text, ...) puts into the buffer, sent as it fills."""
+    for b in batches:
+        more = [b.column(n).to_pylist() for n in b.schema.names if n not in ("doc_id", "text")]
+        for (i, t), *rest in zip(ids_and_bytes(b), *more, strict=True):
+            rows(i, t, *rest)
+            if buffer.held > BUFFER:
+                yield buffer.flush()
+    if buffer.held:
+        yield buffer.flush()
+
+
+def _sampled(length: int):
+    def run(batches):
+        buffer = Buffer(_settle_shared, {"key": np.int64, "_": np.int8, "doc_id": np.int64, "at": np.int32})
+
+        def rows(i, t):
+            for s in slices(t, length):
+                at, h = s.anchors()
+                buffer.add(h.view(np.int64), np.zeros(len(at), np.int8), np.full(len(at), i, np.int64), (at + s.base).astype(np.int32))
+
+        for b in _flushed(batches, buffer, rows):
+            yield b.drop_columns(["_"])
+
+    return run
+
+
+def _positions(found) -> np.ndarray:
+    return np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in found])).astype(np.int64) if found else np.empty(0, np.int64)
+
+
+def _in_slice(s: Slice, at: np.ndarray) -> np.ndarray:
+    return at[(at >= s.lo) & (at < s.hi)] - s.base
+
+
+def _surrounded(length: int):
+    def run(batches):
+        buffer = Buffer(_settle_doomed, {"key": np.int64, "sub": np.int64, "doc_id": np.int64, "at": np.int32, "l": np.int64, "r": np.int64})
+
+        def rows(i, t, found):
+            at = _positions(found)
+            for s in slices(t, length):
+                x = _in_slice(s, at)
+                if not len(x):
+                    continue
+                sides = [s.reaching(x, left) for left in (half(length), 0)]
+                l, r = (np.where(there, np.maximum(h, np.uint64(1)), np.uint64(0)).view(np.int64) for h, there in sides)
+                buffer.add(s.ranks.of(ANCHOR)[x].view(np.int64), s.surroundings(x).view(np.int64), np.full(len(x), i, np.int64), (x + s.base).astype(np.int32), l, r)
+
+        yield from _flushed(batches, buffer, rows)
+
+    return run
+
+
+def _sides(batches):
+    """Rows of open anchors by their ranks to the left (position times 2) and right (plus 1)."""
+    buffer = Buffer(_settle_shared, {"key": np.int64, "_": np.int8, "doc_id": np.int64, "at": np.int32})
+    for b in batches:
+        doc, at = b.column("doc_id").to_numpy(), b.column("at").to_numpy().astype(np.int64)
+        for side, name in enumerate("lr"):
+            key = b.column(name).to_numpy()
+            there = key != 0
+            buffer.add(key[there], np.zeros(there.sum(), np.int8), doc[there], 2 * at[there] + side)
+        if buffer.held > BUFFER:
+            yield buffer.flush().drop_columns(["_"])
+    if buffer.held:
+        yield buffer.flush().drop_columns(["_"])
+
+
+def strings_left(s: Slice, doomed: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Starts, from base, of strings of a slice whose anchor (the first of smallest rank in them) has not dropped out, unless they are
+    doomed with it. doomed: anchors that are with their surroundings; sides: twice the positions of shared ranks to the left, plus 1
+    to the right."""
+    h, w, part = s.ranks.of(ANCHOR), s.length - ANCHOR + 1, half(s.length)
+    least, at = _window(h, w, np.minimum), anchors(h, w)
+    start = np.arange(s.lo - s.base, min(len(least), s.hi - s.base))
+    k = np.searchsorted(at, start)
+    while (later := h[at[k]] != least[start]).any():
+        k[later] += 1
+    known, left, right = np.isin(at, doomed), np.isin(2 * at, sides), np.isin(2 * at + 1, sides)
+    offset = at[k] - start
+    return start[~known[k] & (left[k] | (offset < part)) & (right[k] | (offset > part))]
+
+
+def _strings(length: int):
+    def run(batches):
+        buffer = Buffer(_settle_doomed, {"key": np.int64, "sub": np.int32, "doc_id": np.int64, "at": np.int32})
+
+        def rows(i, t, doomed, sides):
+            doomed, sides = _positions(doomed), _positions(sides)
+            for s in slices(t, length):
+                x = strings_left(s, doomed - s.base, sides - 2 * s.base)
+                if len(x):
+                    h = s.ranks.raw(length)[x]
+                    sub = (mix(h ^ _SALT) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    buffer.add(mix(h).view(np.int64), sub ^ _check(s.bytes, x, length), np.full(len(x), i, np.int64), (x + s.base).astype(np.int32))
+
+        yield from _flushed(batches, buffer, rows)
+
+    return run
+
+
+def _check(data: bytes, at: np.ndarray, length: int) -> np.ndarray:
+    """32 bits more of the strings at some positions, by a sum of products of their bytes' own numbers."""
+    b = _TABLE[np.frombuffer(data, np.uint8)]
+    h = np.zeros(len(at), np.uint64)
+    for k in range(length):
+        h = h * _SALT + b[at + k]
+    return (mix(h) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _SALT)
+
+
+def _by_doc(found: DataFrame, name: str) -> DataFrame:
+    return stored(found.groupBy("doc_id").agg(F.collect_list("starts").alias(name)), name)
+
+
+def doomed_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, anchors and starts, stored: of each document that has any, anchors that are doomed with their
+    surroundings, and starts of other doomed strings (arrays of 32-bit integers as bytes)."""
+    spark = docs.sparkSession
+    rows = texts(docs).where("doc_id is not null")
+    with text_batches(spark):
+        sampled = rows.mapInArrow(_sampled(length), "key bigint, doc_id bigint, at int, starts binary")
+        shared = _by_doc(_sorted(sampled, "doc_id").mapInArrow(_shared, _FOUND), "shared")
+        release(spark)
+        marked = picked(rows, shared, "doc_id", "ranked", lambda j: _sorted(j.select("doc_id", "text", "shared").mapInArrow(_surrounded(length), "key bigint, sub bigint, doc_id bigint, at int, l bigint, r bigint, starts binary"), "sub", "doc_id").mapInArrow(_ranked, _RANKED))
+        drop_stored(shared)
+        release(spark)
+        anchors_ = _by_doc(marked.where("starts is not null").select("doc_id", "starts"), "anchors")
+        sides = marked.where("starts is null").select("doc_id", "at", "l", "r").mapInArrow(_sides, "key bigint, doc_id bigint, at int, starts binary")
+        sides = _by_doc(_sorted(sides, "doc_id").mapInArrow(_shared, _FOUND), "sides")
+        drop_stored(marked)
+        release(spark)
+        open_ = sides.join(anchors_, "doc_id", "left").select("doc_id", "anchors", "sides")
+        own = picked(rows, open_, "doc_id", "strings", lambda j: _sorted(j.select("doc_id", "text", "anchors", "sides").mapInArrow(_strings(length), "key bigint, sub int, doc_id bigint, at int, starts binary"), "sub", "doc_id").mapInArrow(_doomed, _FOUND))
+        release(spark)
+        starts = _by_doc(own, "starts")
+        found = stored(anchors_.join(starts, "doc_id", "full").select("doc_id", "anchors", "starts"), "doomed")
+    drop_stored(sides, own, anchors_, starts)
+    release(spark)
+    return found
+
+
+# -- results -------------------------------------------------------------------------------
+
+
+def covered(n: int, anchors_: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Which of n bytes doomed strings cover: those around anchors, and those at starts."""
+    step = np.zeros(n + 1, np.int32)
+    for lo, hi in ((np.maximum(anchors_ - (length - ANCHOR), 0), np.minimum(anchors_ + length, n)), (starts, starts + length)):
+        np.add.at(step, lo, 1)
+        np.add.at(step, hi, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+def _cut(length: int):
     def run(batches):
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         for b in batches:
             rows = []
-            for (i, t), found in zip(ids_and_bytes(b), b.column("starts").to_pylist(), strict=True):
+            for (i, t), a, s in zip(ids_and_bytes(b), b.column("anchors").to_pylist(), b.column("starts").to_pylist(), strict=True):
                 gone, spans, kept = 0, 0, t
-                if found:
-                    mask = covered(len(t), np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in found])), length)
+                if a or s:
+                    mask = covered(len(t), _positions(a), _positions(s), length)
                     gone = int(mask.sum())
                     spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
                     kept = np.frombuffer(t, np.uint8)[~mask].tobytes()
@@ -317,5 +480,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names)
 
-    joined = texts(docs).where("doc_id is not null").join(starts, "doc_id", "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return run
+
+
+_CUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, kept (the bytes left), n_bytes, n_removed, n_spans and kept_sha256 of each document."""
+    found = doomed_strings(docs, length)
+    return texts(docs).join(found, "doc_id", "left").select("doc_id", "text", "anchors", "starts").mapInArrow(_cut(length), _CUT)
+
+
+def summary(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The same without kept. Only texts that lose something are moved."""
+    found = doomed_strings(docs, length)
+    with text_batches(docs.sparkSession):
+        cut = picked(texts(docs), found, "doc_id", "cut", lambda j: j.select("doc_id", "text", "anchors", "starts").mapInArrow(_cut(length), _CUT).drop("kept", "n_bytes").dropDuplicates(["doc_id"]))
+    drop_stored(found)
+    release(docs.sparkSession)
+    whole = texts(docs).select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("own"))
+    zero = F.lit(0).cast("bigint")
+    return whole.join(cut, "doc_id", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"))

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from basalt.llm import substrings
@@ -59,6 +61,47 @@ def test_matches_brute_force(spark, seed):
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, starts string").repartition(5)
     check(substrings.remove_repeats(df), rows)
+    check(substrings.summary(df), rows)
+
+
+def test_small_buffers_and_slices(monkeypatch):
+    """Runs that cross tasks, batches, flushes of the buffer and slices of a text."""
+    monkeypatch.setattr(substrings, "BUFFER", 40)
+    monkeypatch.setattr(substrings, "SLICE", 64)
+    rows = corpus(3)
+    found = in_process(rows, 7)
+    want = brute(rows)
+    assert {i: found.get(i, 0) for i in want} == {i: x[1] for i, x in want.items()}
+
+
+def in_process(rows, size):
+    """The four rounds over batches of a few rows, without Spark: doc_id and bytes removed."""
+
+    def sort(batches, *by):
+        t = pa.Table.from_batches(list(batches))
+        return t.sort_by([(c, "ascending") for c in ("key", *by)]).to_batches(max_chunksize=size)
+
+    def by_doc(batches):
+        out = {}
+        for b in batches:
+            for i, x in zip(b.column("doc_id").to_pylist(), b.column("starts").to_pylist(), strict=True):
+                out.setdefault(i, []).append(x)
+        return out
+
+    def docs(**more):
+        for i, t in rows:
+            if all(i in m for m in more.values()) or not more:
+                yield pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, **{n: m.get(i) for n, m in more.items()}}], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), *((n, pa.list_(pa.binary())) for n in more)]))
+
+    s = substrings
+    shared = by_doc(s._shared(sort(s._sampled(50)(docs()), "doc_id")))
+    ranked = pa.Table.from_batches(list(s._ranked(sort(s._surrounded(50)(docs(shared=shared)), "sub", "doc_id"))))
+    doomed = by_doc(ranked.filter(pc.is_valid(ranked["starts"])).to_batches())
+    open_ = ranked.filter(pc.is_null(ranked["starts"])).to_batches(max_chunksize=size)
+    sides = by_doc(s._shared(sort(s._sides(open_), "doc_id")))
+    anchors = {i: doomed.get(i, []) for i in sides}
+    own = by_doc(s._doomed(sort(s._strings(50)(docs(anchors=anchors, sides=sides)), "sub", "doc_id")))
+    return {i: int(s.covered(len((t or "").encode()), s._positions(doomed.get(i)), s._positions(own.get(i)), 50).sum()) for i, t in rows}
 
 
 def test_ranks_are_those_of_the_bytes():
@@ -75,8 +118,10 @@ def test_ranks_are_those_of_the_bytes():
 def test_kept_bytes_and_odd_rows(spark):
     t = "0123456789" * 6
     docs = spark.createDataFrame([(1, t, "k"), (2, "A" + t + "B", "k"), (2, "A" + t + "B", "k"), (None, t, "k"), (3, t[:49], "k")], "doc_id long, text string, part string")
-    got = sorted((r.doc_id, bytes(r.kept).decode()) for r in substrings.remove_repeats(docs).collect())
-    assert got == [(1, t), (2, "AB"), (2, "AB"), (3, t[:49])]
+    got = sorted(((r.doc_id, bytes(r.kept).decode()) for r in substrings.remove_repeats(docs).collect()), key=str)
+    assert [x for x in got if x[0] is not None] == [(1, t), (2, "AB"), (2, "AB"), (3, t[:49])]
+    assert (None, t) in got
+    assert sorted((r.doc_id or 0, r.n_removed) for r in substrings.summary(docs).collect()) == [(0, 0), (1, 0), (2, 60), (2, 60), (3, 0)]
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 

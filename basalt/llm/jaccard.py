@@ -1,28 +1,28 @@
 """N-gram Jaccard join with signature trees.
 
-Texts' sets of 5-word shingles link at 100 * intersection >= 75 * union. Linked sets share many of their
-shingles of smallest hash: with p(n) = n - ceil(3n/4) + m(n) of them, m(n) = ceil(n/8), two linked sets have
-min(m) in common there (prefix filtering, extended). The join goes in three steps, none of which moves
-a text that has no near copy, and none of which makes all pairs of a group:
-
-1. Candidates. Parts of the hash space count, for each text, its prefix shingles that another text has;
-   only texts with enough go on. Equal sets count as one from here.
-2. Blocks. Candidates with the same min-hash meet in blocks of bounded size, in several rounds. A
-   signature tree over a block has nodes that combine their members' token bitmaps (with OR; as bits hold
-   counts, with the maximum) and their range of sizes. Two trees, or one with itself, are traversed at once;
-   node pairs go when sizes or the largest possible overlap rule out a link, or when their members are
-   connected already. What is left is compared exactly. Later rounds, at other min-hashes and at last at the
-   first again, take one text of each component.
-3. The rest. Candidates that blocks have left apart but that share prefix shingles across components are
-   paired, pruned by size and by shared counts, and compared exactly while their components are apart. Shingles of more than COMMON
-   candidates are left out of that where a pair must share another one too; texts of mostly common shingles
-   meet at those by signature trees. So no link is lost.
+Texts' sets of 5-word shingles link at 100 * intersection >= 75 * union. In any order of all shingles, two linked
+sets share at least min(m) of their first p(n) = n - ceil(3n/4) + m(n), m(n) = ceil(n/8) (prefix filtering,
+extended). No step makes all pairs of a group, and texts without near copies are not moved:
+
+1. Candidates. In the order of their hashes, rows of the prefixes' shingles are sorted by shingle; only texts that
+   have enough that another text has too go on, one for each class of equal sets.
+2. Order. All shingles of these are sorted by shingle and counted. Then the order is: shingles of one set, those of at
+   most COMMON, the others. A set whose prefix is its own drops out, which leaves hardly more than the sets with links.
+3. Blocks. Sets with the same min-hash meet in blocks of bounded size. A signature tree over a block has nodes that
+   hold their members' token bitmaps combined with OR, and the range of their sizes. Two nodes, or one with itself, are
+   traversed at once; a pair goes when sizes or the largest possible overlap rule out a link, or when all members
+   are connected already. What is left is compared exactly.
+4. The rest, which is what keeps links whole. Sets of different components that share enough uncommon prefix shingles
+   make pairs, of at most COMMON sets each shingle. Sets whose prefix has enough common shingles, as in large groups of copies,
+   are packed into blocks by component; blocks that share such a shingle have their trees traversed against each
+   other, and report only edges that connect components. Of each two components one pair is compared first, all
+   others only if the two are still apart.
 
 links() also counts every document's links. All links lie in components, so there each two sets of a component are
 compared exactly, one of each class of equal sets, in tiles of bounded size that are dealt over the tasks; the counts
 are weighed by the sizes of the classes.
 
-Shingles are compared by 64-bit hashes. Null, empty and wordless texts have no shingles and stay alone;
+Shingles are compared by 64-bit hashes, equal sets by 128 bits. Null, empty and wordless texts have no shingles and stay alone;
 fewer than five words are one shingle. Rows without doc_id are left out; rows that repeat a doc_id have one
 result, and doc_id must name one text. An empty table gives an empty result. Columns besides doc_id and
 text are not read.
@@ -35,53 +35,121 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import drop_stored, ids_and_bytes, picked, small_batches, stored, texts
+from basalt.llm.common import batch_of, drop_stored, ids_and_bytes, mix, picked, release, runs, stored, text_batches, texts
 
 WORDS = 5
-#: Characters of text for each part of the hash space.
-PART_CHARS = 1 << 26
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 20
+#: Rows that a task settles among themselves before the rest is sent.
+BUFFER = 1 << 19
+#: Sets and bytes of hashes of a block.
 BLOCK = 1024
-ROUNDS = 4
+BLOCK_BYTES = 1 << 22
 #: Shingles of the sets of a tile, about; a tile has about BLOCK sets at most.
 TILE = 1 << 19
-#: A prefix shingle of more candidates than this is common.
+#: A shingle of more candidates than this is common.
 COMMON = 64
-_MUL = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
+_MUL = 0x9E3779B97F4A7C15
+
+
+# -- sets of shingles -------------------------------------------------------------------
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out, k = np.ones(n, np.uint64), 1
+    while k < n:
+        out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(pow(base, k, 1 << 64))
+        k *= 2
+    return out
+
+
+_POWERS, _INVERSES = _powers(_MUL, PIECE + 1), _powers(pow(_MUL, -1, 1 << 64), PIECE + 1)
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MUL))
+_WHITE = np.isin(np.arange(256), list(b"\x20\x09\x0a\x0b\x0c\x0d"))
+_PLACES = [np.uint64(pow(_MUL, 3 + i, 1 << 64)) for i in range(WORDS)]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of at most PIECE bytes, and where they start: differences of a running sum of the
+    bytes' numbers times powers; of long words, xxh3."""
+    a = np.frombuffer(data, np.uint8)
+    white = np.ones(len(a) + 2, bool)
+    white[1:-1] = _WHITE[a]
+    edges = np.flatnonzero(white[1:] != white[:-1])
+    start, end = edges[0::2], edges[1::2]
+    total = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(_BYTES[a] * _POWERS[: len(a)], out=total[1:])
+    h = mix((total[end] - total[start]) * _INVERSES[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > 64):
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return h, start
+
+
+def _long_text(t: bytes) -> np.ndarray:
+    """Word hashes of a text of more than PIECE bytes, cut at white space; a word as long is hashed by itself."""
+    out, at = [], 0
+    while at < len(t):
+        end = at + PIECE
+        if end < len(t):
+            cut = max(t.rfind(w, at, end) for w in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            if cut < 0:  # no white space: the word goes on to the next
+                nexts = [x for w in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (x := t.find(w, end)) >= 0]
+                end = min(nexts, default=len(t))
+                out.append(np.array([xxhash.xxh3_64_intdigest(t[at:end])], np.uint64))
+                at = end
+                continue
+            end = cut + 1
+        out.append(word_hashes(t[at:end])[0])
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered."""
 
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(w)
-        if len(w) <= 64:
-            self[w] = h
+def _of_words(h: np.ndarray) -> np.ndarray:
+    """Hashes of each WORDS neighbours, or of all words if they are fewer."""
+    k = min(WORDS, len(h))
+    if not k:
         return h
+    n = len(h) - k + 1
+    out = np.full(n, np.uint64(k))
+    for j in range(k):
+        out += h[j : n + j] * _PLACES[j]
+    return mix(out)
+
+
+def sets_of(texts_: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles; A-Z count as a-z."""
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
+
+    def close():
+        h, start = word_hashes(b"\n".join(group))
+        at = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in group]))
+        whole = _of_words(h) if len(h) >= WORDS else h
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            out.append(np.unique(whole[lo : hi - WORDS + 1]) if hi - lo >= WORDS else _of_words(h[lo:hi]))
+        group.clear()
+
+    held = 0
+    for t in texts_:
+        t = t.lower()
+        if held + len(t) + 1 > PIECE and group:
+            close()
+            held = 0
+        if len(t) >= PIECE:  # nothing is held then
+            out.append(np.unique(_of_words(_long_text(t))))
+        else:
+            group.append(t)
+            held += len(t) + 1
+    if group:
+        close()
+    return out
 
 
-def shingles(text: bytes, words: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; A-Z count as a-z."""
-    ws = text.lower().split()
-    ids = np.fromiter(map(words.__getitem__, ws), np.uint64, len(ws))
-    k = min(WORDS, len(ws))
-    if not k:
-        return ids
-    n = len(ws) - k + 1
-    h = _mix(ids[:n] + np.uint64(k))
-    for j in range(1, k):
-        h = _mix(h * _MUL + ids[j : n + j])
-    return np.unique(h)
+def shingles(text: bytes) -> np.ndarray:
+    return sets_of([text])[0]
 
 
 def _ceil_div(a, b):
@@ -126,227 +194,333 @@ class Components:
 
 
 def signature(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Tokens on each of width bits, at most 255 each."""
-    return np.minimum(np.bincount((hashes % np.uint64(width)).astype(np.int64), minlength=width), 255).astype(np.uint8)
+    """A bitmap of width bits that has a set's tokens."""
+    bits = np.zeros(width, bool)
+    bits[(hashes % np.uint64(width)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def width_for(n: int) -> int:
+    """Bits for sets of up to n, so that few tokens share one."""
+    return 1 << max(9, min(15, int(8 * n - 1).bit_length()))
 
 
 class Node:
-    __slots__ = ("lo", "hi", "least", "most", "bits", "kids")
+    __slots__ = ("lo", "hi", "least", "most", "slack", "bits", "kids")
 
 
 class SignatureTree:
-    """Over items in the order given: leaves are items; a node has the bits of its members combined."""
+    """Over items lo to lo + len(sizes) in the order given: leaves are items; a node has its members' bitmaps combined with OR, their
+    range of sizes, and at most how many tokens of one member share a bit with another (slack)."""
 
     FAN = 8
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
-        self.sizes = sizes
+    def __init__(self, bits: list[np.ndarray], sizes: list[int], lo: int = 0):
         level = []
-        for i in range(len(sizes)):
+        for i, n in enumerate(sizes):
             x = Node()
-            x.lo, x.hi, x.least, x.most, x.bits, x.kids = i, i + 1, sizes[i], sizes[i], bits[i], ()
+            x.lo, x.hi, x.least, x.most, x.bits, x.kids = lo + i, lo + i + 1, n, n, bits[i], ()
+            x.slack = n - int(np.bitwise_count(x.bits).sum())
             level.append(x)
         while len(level) > 1:
             up = []
             for k in range(0, len(level), self.FAN):
                 kids = level[k : k + self.FAN]
                 x = Node()
-                x.lo, x.hi, x.least, x.most = kids[0].lo, kids[-1].hi, min(c.least for c in kids), max(c.most for c in kids)
-                x.bits, x.kids = np.maximum.reduce([c.bits for c in kids]), kids
+                x.lo, x.hi, x.least, x.most, x.slack = kids[0].lo, kids[-1].hi, min(c.least for c in kids), max(c.most for c in kids), max(c.slack for c in kids)
+                x.bits, x.kids = np.bitwise_or.reduce([c.bits for c in kids]), kids
                 up.append(x)
             level = up
         self.root = level[0] if level else None
 
-    def self_join(self, comps: Components | None, check, labels: np.ndarray | None = None) -> None:
-        """Calls check(i, j) for item pairs that may link and are not connected; it returns whether they do.
-        Items are connected by comps, or, sorted by labels, by equal labels."""
-        connected = (lambda a, b: self._connected(a, b, comps)) if labels is None else (lambda a, b: labels[a.lo] == labels[a.hi - 1] == labels[b.lo] == labels[b.hi - 1])
-        stack = [(self.root, self.root)] if self.root else []
-        while stack:
-            a, b = stack.pop()
-            if 4 * a.most < 3 * b.least or 4 * b.most < 3 * a.least:
-                continue
-            if connected(a, b):
-                continue
-            if a is not b and not linked(int(np.minimum(a.bits, b.bits).sum(dtype=np.int64)) + self._capped(a, b), a.least, b.least):
-                continue
-            if not a.kids and not b.kids:
-                if a is not b and check(a.lo, b.lo):
-                    comps.union(a.lo, b.lo)
-            elif a is b:
-                stack.extend((a.kids[i], a.kids[j]) for i in range(len(a.kids)) for j in range(i, len(a.kids)))
-            elif b.kids and (not a.kids or b.hi - b.lo >= a.hi - a.lo):
-                stack.extend((a, k) for k in b.kids)
-            else:
-                stack.extend((k, b) for k in a.kids)
-
-    @staticmethod
-    def _capped(a: Node, b: Node) -> int:
-        """Room for overlap beyond 255 on a bit: counts stop there."""
-        return int(min(a.most, b.most)) if (a.bits.max(initial=0) == 255 and b.bits.max(initial=0) == 255) else 0
-
-    @staticmethod
-    def _connected(a: Node, b: Node, comps: Components) -> bool:
+
+def possible(a: Node, b: Node) -> int:
+    """The largest overlap that members of two nodes can have: tokens they share are on bits that both have, and one bit
+    holds one token but for the slack."""
+    return int(np.bitwise_count(a.bits & b.bits).sum()) + min(a.slack, b.slack)
+
+
+def traverse(a: Node, b: Node, comps: Components, check) -> None:
+    """Calls check(i, j) for pairs of items below a and b that may link and are not connected; it returns whether they
+    do, and then they are."""
+    stack = [(a, b)]
+    while stack:
+        a, b = stack.pop()
+        if 4 * a.most < 3 * b.least or 4 * b.most < 3 * a.least:
+            continue
         root = comps.find(a.lo)
-        return all(comps.find(i) == root for x in (a, b) for i in range(x.lo, x.hi))
+        if all(comps.find(i) == root for x in (a, b) for i in range(x.lo, x.hi)):
+            continue
+        if a is not b and not linked(possible(a, b), a.least, b.least):
+            continue
+        if not a.kids and not b.kids:
+            if a is not b and check(a.lo, b.lo):
+                comps.union(a.lo, b.lo)
+        elif a is b:
+            stack.extend((a.kids[i], a.kids[j]) for i in range(len(a.kids)) for j in range(i, len(a.kids)))
+        elif b.kids and (not a.kids or b.hi - b.lo >= a.hi - a.lo):
+            stack.extend((a, k) for k in b.kids)
+        else:
+            stack.extend((k, b) for k in a.kids)
 
 
-def width_for(n: int) -> int:
-    return 1 << max(6, min(13, int(2 * n - 1).bit_length()))
+def _checker(sets: list[np.ndarray]):
+    return lambda i, j: bool(linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])))
 
 
 def join_block(sets: list[np.ndarray]) -> list[int]:
     """For each set (in order of size) the position of its component's first set, links being exact."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    width = width_for(int(sizes.max(initial=1)))
-    comps = Components(len(sets))
-
-    def check(i: int, j: int) -> bool:
-        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        return bool(linked(both, sizes[i], sizes[j]))
-
+    comps, check = Components(len(sets)), _checker(sets)
     for i in range(1, len(sets)):  # most of a block is like its first
-        if 4 * sizes[0] >= 3 * sizes[i] and check(0, i):
+        if 4 * len(sets[0]) >= 3 * len(sets[i]) and check(0, i):
             comps.union(0, i)
     if any(comps.find(i) for i in range(len(sets))):
-        SignatureTree(np.stack([signature(s, width) for s in sets]), sizes).self_join(comps, check)
+        width = width_for(max(map(len, sets)))
+        tree = SignatureTree([signature(s, width) for s in sets], [len(s) for s in sets])
+        traverse(tree.root, tree.root, comps, check)
     return [comps.find(i) for i in range(len(sets))]
 
 
-# -- step 1: candidates --------------------------------------------------------------
+def join_blocks(a: list[np.ndarray], b: list[np.ndarray], labels: list[int]) -> list[tuple[int, int]]:
+    """Edges (positions in a + b) that connect components of a with components of b, by labels, or within one block if b is
+    empty; links being exact. Each block in order of labels."""
+    sets = a + b
+    comps, check, edges, seen = Components(len(sets)), _checker(sets), [], {}
+    for i, x in enumerate(labels):
+        comps.union(seen.setdefault(x, i), i)
+    width = width_for(max(map(len, sets)))
 
-_PARTS = "part int, ids binary, counts binary, hashes binary"
+    def checked(i, j):
+        if not check(i, j):
+            return False
+        edges.append((i, j))
+        return True
 
+    bits = [signature(s, width) for s in sets]
+    one = SignatureTree(bits[: len(a)], [len(s) for s in a]).root
+    other = SignatureTree(bits[len(a) :], [len(s) for s in b], len(a)).root if b else one
+    traverse(one, other, comps, checked)
+    return edges
 
-def _batch(part, ids, counts, hashes):
-    return part, np.asarray(ids, "<i8").tobytes(), np.asarray(counts, "<i4").tobytes(), np.ascontiguousarray(hashes).tobytes()
 
-
-def _to_arrow(rows) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "ids", "counts", "hashes"])
+# -- step 1: candidates --------------------------------------------------------------
 
 
-def _split(ids: np.ndarray, counts: np.ndarray, hashes: np.ndarray, parts: int) -> Iterator[tuple]:
-    """Rows by part of the hash space: of each item with hashes there, its ID and how many, and the hashes."""
-    part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    owner = np.repeat(np.arange(len(ids)), counts)
-    order = np.lexsort((owner, part))
-    part, owner, hashes = part[order], owner[order], hashes[order]
-    edges = np.searchsorted(part, np.arange(parts + 1))
-    for k in range(parts):
-        lo, hi = edges[k], edges[k + 1]
-        if lo < hi:
-            own, n = np.unique(owner[lo:hi], return_counts=True)
-            yield k, ids[own], n, hashes[lo:hi]
+def _batches(batches, *more: str):
+    """IDs, sets and other columns of each batch of texts."""
+    for b in batches:
+        rows = list(ids_and_bytes(b))
+        if rows:
+            yield np.array([i for i, _ in rows], np.int64), sets_of([t for _, t in rows]), *(b.column(b.schema.get_field_index(c)) for c in more)
 
 
-def _sketch(docs: DataFrame, parts: int) -> DataFrame:
-    """Parts of prefixes, and by negative part numbers (doc_id, size, digest of the set) of every text."""
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n (size of the set) and 128 bits d1, d2 that name the set; stored."""
 
     def run(batches):
-        words = WordHashes()
-        for k, b in enumerate(batches):
-            ids, sizes, digests, prefixes = [], [], [], []
-            for i, t in ids_and_bytes(b):
-                h = shingles(t, words)
-                ids.append(i)
-                sizes.append(len(h))
-                digests.append(xxhash.xxh3_64_intdigest(h.tobytes()))
-                prefixes.append(h[: prefix_size(len(h))])
-            if not ids:
-                continue
-            rows = [_batch(-1 - k % parts, ids, sizes, np.array(digests, "<u8"))]
-            all_ids, counts = np.array(ids, np.int64), np.array([len(p) for p in prefixes])
-            rows += [_batch(p, i, n, (h & np.uint64(0xFFFFFFFF)).astype("<u4")) for p, i, n, h in _split(all_ids, counts, np.concatenate(prefixes), parts)]
-            yield _to_arrow(rows)
-
-    return texts(docs).where("doc_id is not null").mapInArrow(run, _PARTS)
-
-
-def _arrays(pdf: pd.DataFrame, kind: str):
-    return tuple(np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("ids", "<i8"), ("counts", "<i4"), ("hashes", kind)))
-
+        for ids, sets in _batches(batches):
+            d = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+            yield batch_of(doc_id=ids, n=np.array([len(s) for s in sets], np.int64), d1=np.array([x >> 64 for x in d], np.uint64).view(np.int64), d2=np.array([x & (1 << 64) - 1 for x in d], np.uint64).view(np.int64))
+
+    return stored(texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint").dropDuplicates(["doc_id"]), "digests")
+
+
+def _prefix_rows(batches):
+    """Rows (key, doc_id, shared 0) of the smallest hashes of each text; of those that several texts of the task have, one row,
+    and how many each of these texts has (shared above 0)."""
+    rows, held = [], 0
+
+    def flush():
+        key, doc = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        first = runs(key)
+        many = np.repeat((size := np.diff(np.append(first, len(key)))) > 1, size)
+        send = ~many
+        send[first] = True
+        who, n = np.unique(doc[many], return_counts=True)
+        rows.clear()
+        return batch_of(key=np.concatenate([key[send], mix(who.view(np.uint64))]).view(np.int64), doc_id=np.concatenate([doc[send], who]), shared=np.concatenate([np.zeros(send.sum(), np.int32), n.astype(np.int32)]))
+
+    for ids, sets in _batches(batches):
+        prefixes = [s[: prefix_size(len(s))] for s in sets]
+        rows.append((np.concatenate(prefixes), np.repeat(ids, [len(p) for p in prefixes])))
+        held += len(rows[-1][0])
+        if held > BUFFER:
+            yield flush()
+            held = 0
+    if held:
+        yield flush()
+
+
+def _shared_rows(batches):
+    """Of rows sorted by key: doc_id and how many keys it shares."""
+    kept, known = None, None
+    for b in batches:
+        key, doc, shared = (b.column(c).to_numpy() for c in ("key", "doc_id", "shared"))
+        aside = shared > 0
+        if aside.any():
+            yield batch_of(doc_id=doc[aside], shared=shared[aside].astype(np.int64))
+        key, doc = key[~aside], doc[~aside]
+        if kept is not None:
+            key, doc = np.concatenate([kept[0], key]), np.concatenate([kept[1], doc])
+        if not len(key):
+            continue
+        first = runs(key)
+        size = np.diff(np.append(first, len(key)))
+        hit = np.repeat(size > 1, size) | (key == known if known is not None else False)
+        if hit[-1]:
+            known = key[-1]
+        wait = (key == key[-1]) & ~hit
+        kept = key[wait], doc[wait]
+        if hit.any():
+            who, n = np.unique(doc[hit], return_counts=True)
+            yield batch_of(doc_id=who, shared=n)
+
+
+def _least(n):
+    return F.ceil(F.ceil(n * 3 / 4) / 8)
+
+
+def candidates(docs: DataFrame, info: DataFrame) -> DataFrame:
+    """doc_id, n: the first text of each class of equal sets that may have links to other sets; stored."""
+    rows = texts(docs).where("doc_id is not null").mapInArrow(_prefix_rows, "key bigint, doc_id bigint, shared int")
+    shared = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_rows, "doc_id bigint, shared bigint").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    firsts = info.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id"))
+    return stored(firsts.join(shared, "doc_id").where(F.col("shared") >= _least(F.col("n"))).select("doc_id", "n"), "candidates")
+
+
+# -- step 2: order -----------------------------------------------------------------------
+
+
+def _token_rows(batches, most: int):
+    """Rows (key, node, weight 1) of all hashes; of a hash that more than most sets of the task have, one row of their number, and
+    rows of weight 0, by node, with the hash as token."""
+    rows, held = [], 0
+
+    def flush():
+        key, node = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        first = runs(key)
+        size = np.diff(np.append(first, len(key)))
+        many = size > most
+        aside = np.repeat(many, size)
+        n, k = (~aside).sum(), many.sum()
+        rows.clear()
+        return batch_of(
+            key=np.concatenate([key[~aside], key[first[many]], mix(node[aside].view(np.uint64))]).view(np.int64), node=np.concatenate([node[~aside], node[first[many]], node[aside]]),
+            weight=np.concatenate([np.ones(n, np.int32), size[many].astype(np.int32), np.zeros(aside.sum(), np.int32)]), token=np.concatenate([np.zeros(n + k, np.uint64), key[aside]]).view(np.int64),
+        )
+
+    for b in batches:
+        sets = [np.frombuffer(h, "<u8") for h in b.column("hashes").to_pylist()]
+        if not sets:
+            continue
+        rows.append((np.concatenate(sets), np.repeat(b.column("node").to_numpy(), [len(s) for s in sets])))
+        held += len(rows[-1][0])
+        if held > BUFFER:
+            yield flush()
+            held = 0
+    if held:
+        yield flush()
+
+
+def _counted_rows(batches, most: int):
+    """Of rows sorted by key: node, token and whether it is common, of each that two sets have at least."""
+    kept, known = None, None
+    for b in batches:
+        key, node, weight, token = (b.column(c).to_numpy() for c in ("key", "node", "weight", "token"))
+        if (aside := weight == 0).any():
+            yield batch_of(node=node[aside], token=token[aside], common=np.ones(aside.sum(), bool))
+        key, node, weight = key[~aside], node[~aside], weight[~aside]
+        if kept is not None:
+            key, node, weight = (np.concatenate(x) for x in zip(kept, (key, node, weight), strict=True))
+        if not len(key):
+            continue
+        first = runs(key)
+        size = np.diff(np.append(first, len(key)))
+        total = np.repeat(np.add.reduceat(weight.astype(np.int64), first), size)
+        common = (total > most) | (key == known if known is not None else False)
+        if common[-1]:
+            known = key[-1]
+        last = key == key[-1]
+        wait = last & ~common  # most rows of a key
+        kept = key[wait], node[wait], weight[wait]
+        if (out := (common | (total > 1)) & ~wait & (weight == 1)).any():
+            yield batch_of(node=node[out], token=key[out], common=common[out])
+    if kept is not None and len(kept[0]) > 1:
+        yield batch_of(node=kept[1], token=kept[0], common=np.zeros(len(kept[0]), bool))
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one part: for each text how many of its shingles another text has too."""
-    if pdf["part"].iloc[0] < 0:
-        ids, sizes, digests = _arrays(pdf, "<i8")
-        return pd.DataFrame({"doc_id": ids, "n": sizes.astype(np.int64), "node": digests, "shared": np.zeros(len(ids), np.int64)})
-    ids, counts, h = _arrays(pdf, "<u4")
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    same = s[1:] == s[:-1]
-    more = np.zeros(len(h), bool)
-    more[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    owner = np.repeat(np.arange(len(ids)), counts)
-    n = np.bincount(owner, weights=more, minlength=len(ids)).astype(np.int64)
-    hit = n > 0
-    return pd.DataFrame({"doc_id": ids[hit], "n": np.zeros(hit.sum(), np.int64), "node": np.full(hit.sum(), np.iinfo(np.int64).min), "shared": n[hit]})
 
+_SETS = "node bigint, n bigint, hashes binary"
 
-def candidates(docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id, n, node (digest of the set) and may_link of each text."""
-    per_part = _sketch(docs, parts).groupBy("part").applyInPandas(_shared, "doc_id bigint, n bigint, node bigint, shared bigint")
-    by_doc = per_part.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("node").alias("node"), F.sum("shared").alias("shared"))
-    least = F.ceil(F.ceil(F.col("n") * 3 / 4) / 8)
-    return stored(by_doc.select("doc_id", "n", "node", ((F.col("n") > 0) & (F.col("shared") >= least)).alias("may_link")), "candidates")
 
+def _ordered(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """node, n, hashes, rare and common (hashes of the prefix) and a min-hash k of the sets that may have links; stored."""
 
-# -- steps 2 and 3 ---------------------------------------------------------------------
+    def hashed(batches):
+        for nodes, sets in _batches(batches):
+            yield batch_of(node=nodes, n=np.array([len(s) for s in sets], np.int64), hashes=pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()))
 
+    def prefixed(batches):
+        for b in batches:
+            rows = []
+            for node, n, h, rare, common in zip(*(b.column(c).to_pylist() for c in ("node", "n", "hashes", "rare", "common")), strict=True):
+                left = int(prefix_size(n)) - (n - len(rare) - len(common))
+                if left < least_shared(n):
+                    continue
+                rare, common = (np.sort(np.array(x, "<i8")) for x in (rare, common))
+                k = int(mix(np.frombuffer(h, "<u8") ^ np.uint64(_MUL)).min().view(np.int64))
+                rows.append((node, n, h, rare[:left].tobytes(), common[: max(0, left - len(rare))].tobytes(), k))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["node", "n", "hashes", "rare", "common", "k"])
+
+    sets = picked(texts(docs), chosen, "doc_id", "sets", lambda joined: joined.select("doc_id", "text").mapInArrow(hashed, _SETS).dropDuplicates(["node"]))
+    release(docs.sparkSession)
+    most = COMMON
+    rows = sets.mapInArrow(lambda x: _token_rows(x, most), "key bigint, node bigint, weight int, token bigint").repartition("key").sortWithinPartitions("key")
+    counted = rows.mapInArrow(lambda x: _counted_rows(x, most), "node bigint, token bigint, common boolean")
+    lists = counted.groupBy("node").agg(F.collect_list(F.when(~F.col("common"), F.col("token"))).alias("rare"), F.collect_list(F.when(F.col("common"), F.col("token"))).alias("common"))
+    out = stored(sets.join(lists, "node").mapInArrow(prefixed, f"{_SETS}, rare binary, common binary, k bigint"), "ordered")
+    drop_stored(sets)
+    release(docs.sparkSession)
+    return out
 
-def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """node, n, hashes and ROUNDS min-hashes of the texts named in reps(doc_id, node)."""
 
-    def run(batches):
-        words = WordHashes()
-        seeds = _mix(np.arange(1, ROUNDS + 1, dtype=np.uint64) * _MUL)
-        for b in batches:
-            nodes, sizes, sets, keys = b.column("node").to_pylist(), [], [], [[] for _ in range(ROUNDS)]
-            for _, t in ids_and_bytes(b):
-                h = shingles(t, words)
-                sizes.append(len(h))
-                sets.append(h.astype("<u8").tobytes())
-                for r in range(ROUNDS):
-                    keys[r].append(int(_mix(h ^ seeds[r]).min().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), *(pa.array(k, pa.int64()) for k in keys)], ["node", "n", "hashes", *(f"k{r}" for r in range(ROUNDS))])
+# -- steps 3 and 4 ---------------------------------------------------------------------
 
-    schema = "node bigint, n bigint, hashes binary, " + ", ".join(f"k{r} bigint" for r in range(ROUNDS))
-    return picked(texts(docs), reps, "doc_id", "sets", lambda joined: joined.select("doc_id", "text", "node").mapInArrow(run, schema))
 
+def _edges_of(edges) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-def _block_round(sets: DataFrame, key: str) -> DataFrame:
-    """Edges (a, b) to the first set of each component found in blocks of equal key. Ranges also split by node,
-    so a hot key is dealt over many tasks, and a run of it is cut at BLOCK."""
 
-    most = BLOCK
+def _blocks(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) to the first set of each component found in blocks of equal min-hash. Ranges also split by node,
+    so a hot key is dealt over many tasks, and a run of it is cut at BLOCK sets or BLOCK_BYTES."""
 
     def run(batches):
-        block, at = [], None
+        block, at, held = [], None, 0
 
         def close():
             order = sorted(range(len(block)), key=lambda i: (len(block[i][1]), block[i][0]))
             roots = join_block([block[i][1] for i in order])
             return [(block[order[i]][0], block[order[r]][0]) for i, r in enumerate(roots) if r != i]
 
-        def out(edges):
-            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
-
         for b in batches:
-            for k, node, h in zip(b.column("key").to_pylist(), b.column("node").to_pylist(), b.column("hashes").to_pylist(), strict=True):
-                if block and (k != at or len(block) >= most):
+            for k, node, h in zip(b.column("k").to_pylist(), b.column("node").to_pylist(), b.column("hashes").to_pylist(), strict=True):
+                if block and (k != at or len(block) >= BLOCK or held > BLOCK_BYTES):
                     if len(block) > 1:
-                        yield out(close())
-                    block = []
+                        yield _edges_of(close())
+                    block, held = [], 0
                 at = k
+                held += len(h)
                 block.append((node, np.frombuffer(h, "<u8")))
         if len(block) > 1:
-            yield out(close())
+            yield _edges_of(close())
 
-    keyed = sets.select(F.col(key).alias("key"), "node", "hashes")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node").mapInArrow(run, "a bigint, b bigint")
+    return sets.select("k", "node", "hashes").repartitionByRange(parts, "k", "node").sortWithinPartitions("k", "node").mapInArrow(run, "a bigint, b bigint")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -362,11 +536,12 @@ def connected(edges: DataFrame) -> DataFrame:
         step = labels.join(low, labels["node"] == low["a"]).select("node", F.least("label", "m").alias("l1"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("l1"), F.col("label").alias("l2"))
         new = stored(step.join(jump, "l1", "left").select("node", F.least("l1", F.coalesce("l2", "l1")).alias("label"), "old"), "labels")
-        changed = new.where("label <> old").limit(1).count()
+        changed = new.where("label <> old").head(1)
         drop_stored(labels)
         labels = new.select("node", "label")
         labels._basalt_path = new._basalt_path
         if not changed:
+            drop_stored(both)
             return labels
 
 
@@ -374,115 +549,54 @@ def _labelled(sets: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
     return sets.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), *more)
 
 
-_PAIRS = "x bigint, y bigint, shared int, kind int"
+def _rare_rows(batches):
+    """Pairs (x, y) of different labels and like sizes for each key that they have, from rows sorted by key; a key has COMMON at most."""
+    kept = None
+    for b in batches:
+        cols = [b.column(c).to_numpy() for c in ("key", "node", "label", "n")]
+        if kept is not None:
+            cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+        last = cols[0] == cols[0][-1] if len(cols[0]) else np.empty(0, bool)
+        kept = [c[last] for c in cols]
+        yield from _pairs_of(*(c[~last] for c in cols))
+    if kept is not None:
+        yield from _pairs_of(*kept)
+
+
+def _pairs_of(key, node, label, n) -> Iterator[pa.RecordBatch]:
+    if not len(key):
+        return
+    first = runs(key)
+    size = np.diff(np.append(first, len(key)))
+    mixed = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
+    for g in np.unique(size[mixed]):
+        at = first[mixed & (size == g)]
+        i, j = np.triu_indices(g, 1)
+        step = max(1, 500_000 // len(i))
+        for lo in range(0, len(at), step):
+            rows = at[lo : lo + step][:, None]
+            a, b = (rows + i).ravel(), (rows + j).ravel()
+            keep = (label[a] != label[b]) & (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b]))
+            a, b = node[a[keep]], node[b[keep]]
+            if len(a):
+                yield batch_of(x=np.minimum(a, b), y=np.maximum(a, b))
 
 
-def _prefixes(sets: DataFrame, parts: int) -> DataFrame:
-    """Parts of the prefixes of labelled sets: hashes as 64 bits, and after each part's own the labels and sizes."""
+def _rare_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (x, y) of sets of different components that share enough uncommon shingles, for what else they can share."""
 
     def run(batches):
         for b in batches:
-            nodes, labels, n = (b.column(c).to_numpy() for c in ("node", "label", "n"))
-            if not len(nodes):
-                continue
-            prefixes = [np.frombuffer(h, "<u8")[: prefix_size(k)] for h, k in zip(b.column("hashes").to_pylist(), n.tolist(), strict=True)]
-            counts = np.array([len(p) for p in prefixes])
-            place = np.arange(len(nodes))
-            rows = [_batch(p, np.concatenate([nodes[i], labels[i], n[i]]), c, h.astype("<u8")) for p, i, c, h in _split(place, counts, np.concatenate(prefixes), parts)]
-            yield _to_arrow(rows)
-
-    return sets.select("node", "label", "n", "hashes").mapInArrow(run, _PARTS)
-
-
-def _across(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
-    """Of one part, from shingles whose texts are of two components or more: pairs across components with
-    how many uncommon ones they share (kind 0), how many common ones a text has (kind 1: x, shared), and
-    the members (y) of each common one (kind 2: x is the shingle)."""
-    out: list[tuple] = []
-    nodes, labels, sizes, counts, hashes = [], [], [], [], []
-    for ids, c, h in zip(pdf["ids"], pdf["counts"], pdf["hashes"], strict=True):
-        three = np.frombuffer(ids, "<i8").reshape(3, -1)
-        nodes.append(three[0])
-        labels.append(three[1])
-        sizes.append(three[2])
-        counts.append(np.frombuffer(c, "<i4"))
-        hashes.append(np.frombuffer(h, "<u8"))
-    nodes, labels, sizes, counts, hashes = map(np.concatenate, (nodes, labels, sizes, counts, hashes))
-    owner = np.repeat(np.arange(len(nodes)), counts)
-    order = np.argsort(hashes, kind="stable")
-    hashes, owner = hashes[order], owner[order]
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    size = np.diff(np.concatenate([first, [len(hashes)]]))
-    lab = labels[owner]
-    mixed = np.minimum.reduceat(lab, first) != np.maximum.reduceat(lab, first)
-    pairs = []
-    for g in np.unique(size[mixed & (size <= most)]):
-        rows = owner[first[mixed & (size == g)][:, None] + np.arange(g)]
-        i, j = np.triu_indices(g, 1)
-        for lo in range(0, len(rows), max(1, 4_000_000 // len(i))):
-            some = rows[lo : lo + max(1, 4_000_000 // len(i))]
-            a, b = some[:, i].ravel(), some[:, j].ravel()
-            keep = (labels[a] != labels[b]) & (4 * np.minimum(sizes[a], sizes[b]) >= 3 * np.maximum(sizes[a], sizes[b]))
-            a, b = a[keep], b[keep]
-            lo_, hi_ = np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
-            pairs.append(np.stack([lo_, hi_]))
-    if pairs:
-        u, n = np.unique(np.concatenate(pairs, 1), axis=1, return_counts=True)
-        out.append((u[0], u[1], n, np.zeros(len(n), np.int64)))
-    many = mixed & (size > most)
-    if many.any():
-        member = np.repeat(many, size)
-        who, n = np.unique(nodes[owner[member]], return_counts=True)
-        out.append((who, who, n, np.ones(len(n), np.int64)))
-        out.append((hashes[member].view(np.int64), nodes[owner[member]], np.ones(member.sum(), np.int64), np.full(member.sum(), 2)))
-    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
-    return pd.DataFrame({"x": cols[0], "y": cols[1], "shared": cols[2].astype(np.int32), "kind": cols[3].astype(np.int32)})
-
-
-def _common_pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs across components among the texts of a common shingle that a signature tree does not rule out."""
-    pdf = pdf.sort_values(["label", "n", "node"])  # a component is one stretch of the tree
-    bits = np.stack([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
-    node, found = pdf["node"].to_numpy(), []
-
-    def check(i, j):
-        found.append((min(node[i], node[j]), max(node[i], node[j])))
-        return False  # not compared yet
-
-    SignatureTree(bits, pdf["n"].to_numpy()).self_join(None, check, pdf["label"].to_numpy())
-    found = np.array(found, np.int64).reshape(-1, 2)
-    return pd.DataFrame({"x": found[:, 0], "y": found[:, 1]})
-
-
-def _remaining(sets: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
-    """Pairs (x, y) of sets in different components that may still link."""
-    with_labels, most = _labelled(sets, labels, "n", "hashes"), COMMON
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _across(pdf, most)
-
-    rows = stored(_prefixes(with_labels, parts).groupBy("part").applyInPandas(across, _PAIRS), "across")
-    slim = sets.select(F.col("node").alias("x"), F.col("n").alias("nx"))
-    common = rows.where("kind = 1").groupBy("x").agg(F.sum("shared").alias("common"))
-    least = F.ceil(F.ceil(F.col("nx") * 3 / 4) / 8)
-    known = stored(slim.join(common, "x", "left").select("x", "nx", F.coalesce("common", F.lit(0)).alias("common"), least.alias("least")), "common")
-    poor = known.where("common >= least").select(F.col("x").alias("y"))
-    pairs = rows.where("kind = 0").groupBy("x", "y").agg(F.sum("shared").alias("s"))
-    ky = known.select(F.col("x").alias("y"), F.col("common").alias("cy"), F.col("least").alias("ly"))
-    enough = F.col("s") >= F.greatest(F.lit(1), F.greatest("least", "ly") - F.least("common", "cy"))
-    uncommon = pairs.join(known, "x").join(ky, "y").where(enough).select("x", "y")
-    members = stored(rows.where("kind = 2").select(F.col("x").alias("h"), "y").join(poor, "y").select("h", F.col("y").alias("node")), "members")
-    if not members.head(1):
-        return uncommon
-
-    def fold(batches):
-        for b in batches:
-            bits = [signature(np.frombuffer(h, "<u8"), 1024).tobytes() for h in b.column("hashes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("label"), b.column("n"), pa.array(bits, pa.binary())], ["node", "label", "n", "bits"])
+            rare = [np.frombuffer(x, "<i8") for x in b.column("rare").to_pylist()]
+            if rare:
+                own = [len(x) for x in rare]
+                yield batch_of(key=np.concatenate(rare), **{c: np.repeat(b.column(c).to_numpy(), own) for c in ("node", "label", "n")})
 
-    wanted = members.select("node").distinct()
-    signed = with_labels.join(wanted, "node", "left_semi").select("node", "label", "n", "hashes").mapInArrow(fold, "node bigint, label bigint, n bigint, bits binary")
-    return uncommon.unionByName(members.join(signed, "node").groupBy("h").applyInPandas(_common_pairs, "x bigint, y bigint")).distinct()
+    rows = _labelled(sets, labels, "n", "rare").mapInArrow(run, "key bigint, node bigint, label bigint, n bigint")
+    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_rare_rows, "x bigint, y bigint").groupBy("x", "y").agg(F.count(F.lit(1)).alias("s"))
+    x, y = (sets.select(F.col("node").alias(c), _least(F.col("n")).alias(f"m{c}"), (F.length("common") / 8).alias(f"c{c}")) for c in "xy")
+    enough = F.col("s") >= F.greatest("mx", "my") - F.least("cx", "cy")
+    return pairs.join(x, "x").join(y, "y").where(enough).select("x", "y")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -496,47 +610,100 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(bool(linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t))))
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = stored(pairs, "pairs")
-    nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    some = picked(sets.select("node", "hashes"), nodes, "node", "paired")
-    hx, hy = (some.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "xy")
+    hx, hy = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "xy")
     return pairs.join(hx, "x").join(hy, "y").select("x", "y", "hx", "hy").mapInArrow(run, "a bigint, b bigint")
 
 
-def _rest(pairs: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
-    """Components by edges and by what of pairs links. Of each two components a few pairs are compared at a
-    time, eight times as many in each round, and the others only while the two are still apart."""
-    left, some = stored(pairs, "rest"), 1
-    labels = connected(edges)
-    while left.head(1):
-        lx, ly = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "xy")
-        apart = left.join(lx, "x", "left").join(ly, "y", "left").select("x", "y", F.coalesce("lx", "x").alias("lx"), F.coalesce("ly", "y").alias("ly")).where("lx <> ly")
-        order = Window.partitionBy(F.least("lx", "ly"), F.greatest("lx", "ly")).orderBy(F.xxhash64("x", "y"))
-        ranked = stored(apart.select("x", "y", F.row_number().over(order).alias("r")), "rest")
-        found = stored(_verified(ranked.where(F.col("r") <= some).select("x", "y"), sets), "found")
-        left, some = ranked.where(F.col("r") > some).select("x", "y"), some * 8
-        if found.head(1):
-            edges = stored(edges.unionByName(found), "edges")
-            labels = connected(edges)
-    return labels
+_BLOCK = "block bigint, label bigint, least bigint, most bigint, nodes binary, labels binary, sizes binary, hashes binary, tokens array<bigint>"
+
+
+def _common_blocks(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Blocks, by label, of the sets whose prefix has enough common shingles to link by them alone: label where all are of one
+    (null otherwise), sizes, sets, and the common shingles of the prefixes; stored."""
+
+    def run(batches):
+        rows, held = [], 0
+
+        def close():
+            sizes = [r[2] for r in rows]
+            own = {r[1] for r in rows}
+            tokens = np.unique(np.concatenate([np.frombuffer(r[4], "<i8") for r in rows]))
+            name = xxhash.xxh3_64_intdigest(np.array([r[0] for r in rows], "<i8").tobytes()) >> 1
+            cols = [[name], [rows[0][1] if len(own) == 1 else None], [min(sizes)], [max(sizes)], *([np.array([r[i] for r in rows], "<i8").tobytes()] for i in (0, 1, 2)), [b"".join(r[3] for r in rows)], [tokens]]
+            kinds = [*[pa.int64()] * 4, *[pa.binary()] * 4, pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in _BLOCK.split(", ")])
+
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in ("node", "label", "n", "hashes", "common")), strict=True):
+                if rows and (len(rows) >= BLOCK or held > BLOCK_BYTES or r[1] != rows[-1][1] and len(rows) >= BLOCK // 8):
+                    yield close()
+                    rows, held = [], 0
+                rows.append(r)
+                held += len(r[3])
+        if rows:
+            yield close()
+
+    enough = sets.where(F.length("common") / 8 >= _least(F.col("n")))
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = _labelled(enough, labels, "n", "hashes", "common").repartitionByRange(parts, "label", "node").sortWithinPartitions("label", "node")
+    return stored(some.mapInArrow(run, _BLOCK), "blocks")
+
+
+def _common_edges(blocks: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect components, between blocks that share a common shingle."""
+
+    def run(batches):
+        def side(b, i, c):
+            nodes, labels, sizes = (np.frombuffer(b.column(f"{x}{c}")[i].as_py(), "<i8") for x in ("nodes", "labels", "sizes"))
+            return nodes.tolist(), labels.tolist(), np.split(np.frombuffer(b.column(f"hashes{c}")[i].as_py(), "<u8"), np.cumsum(sizes)[:-1])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                nodes, labels, sets = side(b, i, "x")
+                more = side(b, i, "y") if b.column("x")[i].as_py() != b.column("y")[i].as_py() else ([], [], [])
+                nodes = nodes + more[0]
+                yield _edges_of([(nodes[p], nodes[q]) for p, q in join_blocks(sets, more[2], labels + more[1])])
+
+    slim = blocks.select(F.explode("tokens").alias("token"), "block", "label", "least", "most")
+    x, y = (slim.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("block", "label", "least", "most"))) for s in "xy")
+    like = (F.col("mostx") * 4 >= F.col("leasty") * 3) & (F.col("mosty") * 4 >= F.col("leastx") * 3)
+    apart = F.col("labelx").isNull() | F.col("labely").isNull() | (F.col("labelx") != F.col("labely"))
+    pairs = x.join(y, "token").where((F.col("blockx") <= F.col("blocky")) & like & apart).select(F.col("blockx").alias("x"), F.col("blocky").alias("y")).distinct()
+    bx, by = (blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}{s}") for c in ("nodes", "labels", "sizes", "hashes"))) for s in "xy")
+    return pairs.join(bx, "x").join(by, "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """candidates(docs); the sets of those that may link; and node, label of the sets with links."""
+    """digests(docs); the sets that may have links; and node, label of the sets with links."""
     spark = docs.sparkSession
-    small_batches(spark, 2000)
-    chars = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    parts = max(8, chars // PART_CHARS)
-    info = candidates(docs, parts)
-    reps = stored(info.where("may_link").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "reps")
-    sets = _sets(docs, reps)
-    edges = stored(_block_round(sets, "k0"), "edges0")
-    for r in [*range(1, ROUNDS), 0]:  # one set a component; at last at the first key again, for runs cut at BLOCK
-        firsts = sets.select("node").join(connected(edges).where("node <> label").select("node"), "node", "left_anti")
-        left = picked(sets.select("node", "hashes", f"k{r}"), firsts, "node", "firsts")
-        edges = stored(edges.unionByName(_block_round(left, f"k{r}")), f"edges{r}")
-        drop_stored(left)
-    return info, sets, _rest(_remaining(sets, connected(edges), parts), sets, edges)
+    with text_batches(spark, 4 << 20):
+        info = digests(docs)
+        chosen = candidates(docs, info)
+        release(spark)
+        sets = _ordered(docs, chosen)
+        edges = stored(_blocks(sets), "edges")
+        labels = connected(edges)
+        release(spark)
+        blocks = _common_blocks(sets, labels)
+        pairs = stored(_rare_pairs(sets, labels), "pairs")
+        first = _apart(pairs, labels).groupBy("lx", "ly").agg(F.min_by(F.struct("x", "y"), F.xxhash64("x", "y")).alias("p")).select("p.x", "p.y")
+        more = stored(edges.unionByName(_common_edges(blocks)).unionByName(_verified(first, sets)), "edges")
+        drop_stored(blocks, edges, labels)
+        release(spark)
+        labels = connected(more)
+        last = stored(more.unionByName(_verified(_apart(pairs, labels).select("x", "y"), sets)), "edges")
+        drop_stored(pairs, more, labels)
+        labels = connected(last)
+        drop_stored(last)
+        release(spark)
+    return info, sets, labels
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs in different components, with these (lx below ly)."""
+    lx, ly = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "xy")
+    both = pairs.join(lx, "x", "left").join(ly, "y", "left").select("x", "y", F.coalesce("lx", "x").alias("p"), F.coalesce("ly", "y").alias("q"))
+    return both.where("p <> q").select("x", "y", F.least("p", "q").alias("lx"), F.greatest("p", "q").alias("ly"))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -546,12 +713,18 @@ def components(docs: DataFrame) -> DataFrame:
     return _named(info, labels)
 
 
+def _classes(info: DataFrame) -> DataFrame:
+    """n, d1, d2, node (smallest doc_id) and class_size of each class of equal sets."""
+    return info.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("class_size"))
+
+
 def _named(info: DataFrame, labels: DataFrame) -> DataFrame:
-    named = info.where("n > 0").join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("component_size"))
-    some = named.join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "component_size")
-    none = info.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("component_size"))
-    return some.unionByName(none)
+    """Nodes are the smallest doc_id of their class, and labels the smallest node, so labels are component_id."""
+    classes = _classes(info).join(labels, "node", "left").select("n", "d1", "d2", F.coalesce("label", "node").alias("component_id"), "class_size")
+    size = classes.groupBy("component_id").agg(F.sum("class_size").alias("component_size"))
+    known = classes.join(size, "component_id").select("n", "d1", "d2", "component_id", "component_size")
+    one = F.lit(1).cast("bigint")
+    return info.join(known, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_size", one).alias("component_size"))
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -606,7 +779,7 @@ def _tile_links(pdf: pd.DataFrame) -> pd.DataFrame:
 def _linked_docs(sets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """node, linked: how many documents of other sets each set links to. A component's sets are dealt over tiles by
     hash, and each two of its tiles meet in a task; components of one tile share tasks."""
-    slim = stored(sets.select("node", "n").join(labels, "node").join(classes, "node").select("node", "label", "n", F.col("class_size").alias("docs")), "linked")
+    slim = stored(sets.select("node", "n").join(labels, "node").join(classes.select("node", "class_size"), "node").select("node", "label", "n", F.col("class_size").alias("docs")), "linked")
     total = slim.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("sum_n"))
     tiled = stored(total.select("label", "sum_n", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("sum_n") / TILE)).cast("int").alias("tiles")), "tiles")
     small = tiled.where("tiles = 1").agg(F.coalesce(F.sum("sum_n"), F.lit(0))).head()[0]
@@ -622,12 +795,13 @@ def links(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with an equal set), class_size, n_links (how many other documents it
     links to), component_id and component_size. Documents of a class have the same links."""
     info, sets, labels = _joined(docs)
-    classes = stored(info.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")
+    classes = stored(_classes(info), "classes")
     counts = stored(_linked_docs(sets, labels, classes), "counts")
     drop_stored(sets)
-    of_doc = info.where("n > 0").join(classes, "node").join(counts, "node", "left").select("doc_id", "class_id", "class_size", (F.col("class_size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     one = F.lit(1).cast("bigint")
-    return _named(info, labels).join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", one).alias("class_size"), F.coalesce("n_links", one - 1).alias("n_links"), "component_id", "component_size")
+    of_class = classes.join(counts, "node", "left").select("n", "d1", "d2", F.col("node").alias("class_id"), "class_size", (F.col("class_size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    of_doc = info.join(of_class, ["n", "d1", "d2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", one).alias("class_size"), F.coalesce("n_links", one - 1).alias("n_links"))
+    return _named(info, labels).join(of_doc, "doc_id").select("doc_id", "n_shingles", "class_id", "class_size", "n_links", "component_id", "component_size")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def test_components_match_brute_force(spark, seed, monkeypatch):
 def test_trees_lose_no_link():
     rnd = random.Random(3)
     rows = [r for r in corpus(5) if len(r[1] or "") < 5000][:400]
-    hashes = [jaccard.shingles((t or "").encode(), jaccard.WordHashes()) for _, t in rows]
+    hashes = [jaccard.shingles((t or "").encode()) for _, t in rows]
     sets = sorted((h for h in hashes if len(h)), key=len)
     rnd.shuffle(rows)
     roots = jaccard.join_block(sets)
@@ -110,6 +110,45 @@ def test_trees_lose_no_link():
     assert roots == [find(i) for i in range(len(sets))]
 
 
+def test_blocks_lose_no_component():
+    """Edges between two blocks connect what links connect, and no more than that."""
+    rnd = random.Random(9)
+    hashes = [jaccard.shingles((t or "").encode()) for _, t in corpus(6) if len(t or "") < 5000]
+    sets = [h for h in hashes if len(h)][:300]
+    rnd.shuffle(sets)
+    a, b = sorted(sets[:150], key=len), sorted(sets[150:], key=len)
+    for second in (b, []):
+        some = a + second
+        edges = jaccard.join_blocks(a, second, list(range(len(some))))
+        up = {i: i for i in range(len(some))}
+
+        def find(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i, j in edges:
+            n = len(np.intersect1d(some[i], some[j]))
+            assert 100 * n >= 75 * (len(some[i]) + len(some[j]) - n) and find(i) != find(j)
+            up[max(find(i), find(j))] = min(find(i), find(j))
+        for i in range(150):
+            for j in range(150, len(some)) if second else range(150):
+                n = len(np.intersect1d(some[i], some[j]))
+                assert 100 * n < 75 * (len(some[i]) + len(some[j]) - n) or find(i) == find(j)
+
+
+def test_sets_of_pieces_and_long_texts(monkeypatch):
+    rnd = random.Random(8)
+    words = ["a", "B", "c" * 70, "é", "dd\x0bd", "x" * 200, "\u3000", "e\x1cf"]
+    texts = ["".join(rnd.choice(words) + rnd.choice([" ", "\n", "\t ", "\x0c\r"]) for _ in range(rnd.randint(0, 80))) for _ in range(60)]
+    whole = [s.tobytes() for s in jaccard.sets_of([t.encode() for t in texts])]
+    want = sets_of(list(enumerate(texts)))
+    assert [len(s) // 8 for s in whole] == [len(want[i]) for i in range(len(texts))]
+    assert all((whole[i] == whole[j]) == (want[i] == want[j]) for i in want for j in want)
+    monkeypatch.setattr(jaccard, "PIECE", 90)
+    assert [s.tobytes() for s in jaccard.sets_of([t.encode() for t in texts])] == whole
+
+
 def test_empty_repeated_and_odd_rows(spark):
     schema = "doc_id long, text string, node string"
     assert jaccard.components(spark.createDataFrame([], schema)).count() == 0

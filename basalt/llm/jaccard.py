@@ -600,7 +600,7 @@ def _rare_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets link, as edges (a, b)."""
+    """Edges (a, b) between the components (lx, ly) of those pairs (x, y) whose sets link."""
 
     def run(batches):
         for b in batches:
@@ -608,13 +608,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for p, q in zip(b.column("hx").to_pylist(), b.column("hy").to_pylist(), strict=True):
                 s, t = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
                 keep.append(bool(linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t))))
-            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column("lx"), b.column("ly")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     hx, hy = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "xy")
-    return pairs.join(hx, "x").join(hy, "y").select("x", "y", "hx", "hy").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(hx, "x").join(hy, "y").select("lx", "ly", "hx", "hy").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-_BLOCK = "block bigint, label bigint, least bigint, most bigint, nodes binary, labels binary, sizes binary, hashes binary, tokens array<bigint>"
+_BLOCK = "block bigint, label bigint, least bigint, most bigint, labels binary, sizes binary, hashes binary, tokens array<bigint>"
 
 
 def _common_blocks(sets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -629,8 +629,8 @@ def _common_blocks(sets: DataFrame, labels: DataFrame) -> DataFrame:
             own = {r[1] for r in rows}
             tokens = np.unique(np.concatenate([np.frombuffer(r[4], "<i8") for r in rows]))
             name = xxhash.xxh3_64_intdigest(np.array([r[0] for r in rows], "<i8").tobytes()) >> 1
-            cols = [[name], [rows[0][1] if len(own) == 1 else None], [min(sizes)], [max(sizes)], *([np.array([r[i] for r in rows], "<i8").tobytes()] for i in (0, 1, 2)), [b"".join(r[3] for r in rows)], [tokens]]
-            kinds = [*[pa.int64()] * 4, *[pa.binary()] * 4, pa.list_(pa.int64())]
+            cols = [[name], [rows[0][1] if len(own) == 1 else None], [min(sizes)], [max(sizes)], *([np.array([r[i] for r in rows], "<i8").tobytes()] for i in (1, 2)), [b"".join(r[3] for r in rows)], [tokens]]
+            kinds = [*[pa.int64()] * 4, *[pa.binary()] * 3, pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in _BLOCK.split(", ")])
 
         for b in batches:
@@ -650,27 +650,27 @@ def _common_blocks(sets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _common_edges(blocks: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect components, between blocks that share a common shingle."""
+    """Edges (a, b) between components that links connect, from blocks that share a common shingle."""
 
     def run(batches):
         def side(b, i, c):
-            nodes, labels, sizes = (np.frombuffer(b.column(f"{x}{c}")[i].as_py(), "<i8") for x in ("nodes", "labels", "sizes"))
-            return nodes.tolist(), labels.tolist(), np.split(np.frombuffer(b.column(f"hashes{c}")[i].as_py(), "<u8"), np.cumsum(sizes)[:-1])
+            labels, sizes = (np.frombuffer(b.column(f"{x}{c}")[i].as_py(), "<i8") for x in ("labels", "sizes"))
+            return labels.tolist(), np.split(np.frombuffer(b.column(f"hashes{c}")[i].as_py(), "<u8"), np.cumsum(sizes)[:-1])
 
         for b in batches:
             for i in range(b.num_rows):
-                nodes, labels, sets = side(b, i, "x")
-                more = side(b, i, "y") if b.column("x")[i].as_py() != b.column("y")[i].as_py() else ([], [], [])
-                nodes = nodes + more[0]
-                yield _edges_of([(nodes[p], nodes[q]) for p, q in join_blocks(sets, more[2], labels + more[1])])
+                labels, sets = side(b, i, "x")
+                more, others = side(b, i, "y") if b.column("x")[i].as_py() != b.column("y")[i].as_py() else ([], [])
+                labels = labels + more
+                yield _edges_of([(labels[p], labels[q]) for p, q in join_blocks(sets, others, labels)])
 
     slim = blocks.select(F.explode("tokens").alias("token"), "block", "label", "least", "most")
     x, y = (slim.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("block", "label", "least", "most"))) for s in "xy")
     like = (F.col("mostx") * 4 >= F.col("leasty") * 3) & (F.col("mosty") * 4 >= F.col("leastx") * 3)
     apart = F.col("labelx").isNull() | F.col("labely").isNull() | (F.col("labelx") != F.col("labely"))
     pairs = x.join(y, "token").where((F.col("blockx") <= F.col("blocky")) & like & apart).select(F.col("blockx").alias("x"), F.col("blocky").alias("y")).distinct()
-    bx, by = (blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}{s}") for c in ("nodes", "labels", "sizes", "hashes"))) for s in "xy")
-    return pairs.join(bx, "x").join(by, "y").mapInArrow(run, "a bigint, b bigint")
+    bx, by = (blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}{s}") for c in ("labels", "sizes", "hashes"))) for s in "xy")
+    return pairs.join(bx, "x").join(by, "y").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -686,19 +686,26 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         release(spark)
         blocks = _common_blocks(sets, labels)
         pairs = stored(_rare_pairs(sets, labels), "pairs")
-        first = _apart(pairs, labels).groupBy("lx", "ly").agg(F.min_by(F.struct("x", "y"), F.xxhash64("x", "y")).alias("p")).select("p.x", "p.y")
-        more = stored(edges.unionByName(_common_edges(blocks)).unionByName(_verified(first, sets)), "edges")
-        drop_stored(blocks, edges, labels)
+        first = _apart(pairs, labels).groupBy("lx", "ly").agg(F.min_by(F.struct("x", "y"), F.xxhash64("x", "y")).alias("p")).select("p.x", "p.y", "lx", "ly")
+        labels = merged(labels, stored(_common_edges(blocks).unionByName(_verified(first, sets)), "across"))
+        drop_stored(blocks, edges)
         release(spark)
-        labels = connected(more)
-        last = stored(more.unionByName(_verified(_apart(pairs, labels).select("x", "y"), sets)), "edges")
-        drop_stored(pairs, more, labels)
-        labels = connected(last)
-        drop_stored(last)
+        labels = merged(labels, stored(_verified(_apart(pairs, labels), sets), "across"))
+        drop_stored(pairs)
         release(spark)
     return info, sets, labels
 
 
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, label) after edges between components, by their labels; these and the edges are deleted."""
+    top = connected(edges)
+    new = top.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    every = labels.unionByName(top.select("node", F.col("node").alias("label"))).dropDuplicates(["node"])
+    out = stored(every.join(new, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    drop_stored(labels, edges, top)
+    return out
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs in different components, with these (lx below ly)."""
     lx, ly = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "xy")

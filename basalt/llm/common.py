@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import re
 import tempfile
 import uuid
@@ -30,11 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+@contextlib.contextmanager
+def configured(spark: SparkSession, **values: str):
+    """Session settings for as long as a step runs."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: later steps that lose an executor
-    read it again instead of computing it again."""
+    read it again instead of computing it again. Its shuffle files go when it is written; else Spark keeps them until
+    the driver happens to collect its garbage."""
     path = f"{shared_dir(df.sparkSession)}/basalt-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with configured(df.sparkSession, **{"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._basalt_path = path
     return back
@@ -48,26 +62,6 @@ def drop_stored(*frames: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files of steps that are over: its cleaner waits for the driver's garbage
-    collection, which a driver with little to do puts off while executors' disks fill."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-@contextlib.contextmanager
-def configured(spark: SparkSession, **values: str):
-    """Session settings for as long as a step runs."""
-    old = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def picked(df: DataFrame, keys: DataFrame, key: str, name: str, fn=lambda joined: joined) -> DataFrame:
     """fn of the join of df with keys on key, stored. While keys are few, Spark makes a Bloom filter of them (of
     bounded size) that keeps df's other rows out of the exchange; it does so where keys are filtered."""

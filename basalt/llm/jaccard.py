@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import batch_of, drop_stored, ids_and_bytes, mix, picked, release, runs, stored, text_batches, texts
+from basalt.llm.common import batch_of, drop_stored, ids_and_bytes, mix, picked, runs, stored, text_batches, texts
 
 WORDS = 5
 #: Bytes of text that are hashed at once.
@@ -477,14 +477,12 @@ def _ordered(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["node", "n", "hashes", "rare", "common", "k"])
 
     sets = picked(texts(docs), chosen, "doc_id", "sets", lambda joined: joined.select("doc_id", "text").mapInArrow(hashed, _SETS).dropDuplicates(["node"]))
-    release(docs.sparkSession)
     most = COMMON
     rows = sets.mapInArrow(lambda x: _token_rows(x, most), "key bigint, node bigint, weight int, token bigint").repartition("key").sortWithinPartitions("key")
     counted = rows.mapInArrow(lambda x: _counted_rows(x, most), "node bigint, token bigint, common boolean")
     lists = counted.groupBy("node").agg(F.collect_list(F.when(~F.col("common"), F.col("token"))).alias("rare"), F.collect_list(F.when(F.col("common"), F.col("token"))).alias("common"))
     out = stored(sets.join(lists, "node").mapInArrow(prefixed, f"{_SETS}, rare binary, common binary, k bigint"), "ordered")
     drop_stored(sets)
-    release(docs.sparkSession)
     return out
 
 
@@ -679,20 +677,16 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     with text_batches(spark, 4 << 20):
         info = digests(docs)
         chosen = candidates(docs, info)
-        release(spark)
         sets = _ordered(docs, chosen)
         edges = stored(_blocks(sets), "edges")
         labels = connected(edges)
-        release(spark)
         blocks = _common_blocks(sets, labels)
         pairs = stored(_rare_pairs(sets, labels), "pairs")
         first = _apart(pairs, labels).groupBy("lx", "ly").agg(F.min_by(F.struct("x", "y"), F.xxhash64("x", "y")).alias("p")).select("p.x", "p.y", "lx", "ly")
         labels = merged(labels, stored(_common_edges(blocks).unionByName(_verified(first, sets)), "across"))
         drop_stored(blocks, edges)
-        release(spark)
         labels = merged(labels, stored(_verified(_apart(pairs, labels), sets), "across"))
         drop_stored(pairs)
-        release(spark)
     return info, sets, labels
 
 

@@ -36,16 +36,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import batch_of, drop_stored, ids_and_bytes, mix, picked, release, runs, stored, text_batches, texts
+from basalt.llm.common import batch_of, drop_stored, ids_and_bytes, mix, picked, runs, stored, text_batches, texts
 
 LENGTH = 50
 ANCHOR = 18
 #: Bytes of a long text that are ranked at once, each taking about a hundred bytes of memory.
 SLICE = 1 << 20
+#: Bytes of texts that are ranked together.
+GROUP = 1 << 18
 #: Rows that a task settles among themselves before the rest is sent.
 BUFFER = 1 << 19
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xD6E8FEB86659FD93)
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 class Ranks:
@@ -53,7 +56,7 @@ class Ranks:
     digits of k, as ranks of powers of two at growing offsets."""
 
     def __init__(self, data: np.ndarray):
-        self.power = {1: mix(data.astype(np.uint64) + np.uint64(1))}
+        self.power = {1: _BYTES[data]}
         self.factor = {1: _MUL}
 
     def _double(self, k: int) -> None:
@@ -75,7 +78,8 @@ class Ranks:
         return out
 
     def of(self, k: int) -> np.ndarray:
-        return mix(self.raw(k))
+        h = self.raw(k)
+        return (h ^ (h >> np.uint64(29))) * _SALT
 
 
 def _window(a: np.ndarray, w: int, f) -> np.ndarray:
@@ -87,34 +91,62 @@ def _window(a: np.ndarray, w: int, f) -> np.ndarray:
     return f(a[: len(a) - (w - k)], a[w - k :]) if k < w else a
 
 
-def anchors(ranks: np.ndarray, w: int) -> np.ndarray:
+def least_ranks(ranks: np.ndarray, w: int, there: np.ndarray) -> np.ndarray:
+    """The smallest of each w neighbours; 0 where no string starts."""
+    return np.where(there, _window(ranks, w, np.minimum), np.uint64(0)) if len(there) else np.empty(0, np.uint64)
+
+
+def anchors(ranks: np.ndarray, least: np.ndarray, w: int) -> np.ndarray:
     """Positions that hold the smallest rank of some w neighbours; all of equal ones."""
-    if len(ranks) < w:
+    if not len(least):
         return np.empty(0, np.int64)
-    least = _window(ranks, w, np.minimum)
     pad = np.zeros(w - 1, np.uint64)
     return np.flatnonzero(_window(np.concatenate([pad, least, pad]), w, np.maximum) == ranks)
 
 
-class Slice:
-    """A stretch of a text: positions lo to hi are its own, bytes from base on include all that their strings hold."""
+class Stretch:
+    """Texts end to end, or a part of a long one: positions own to until (of a part) are its own, and bytes around them include
+    all that their strings hold. Positions are those in the stretch; position() gives them in their documents."""
 
-    def __init__(self, t: bytes, lo: int, length: int):
-        self.lo, self.hi, self.base = lo, min(len(t), lo + SLICE), max(0, lo - 2 * length)
-        self.bytes = t if len(t) <= SLICE else t[self.base : lo + SLICE + 2 * length]
-        self.ranks, self.length = Ranks(np.frombuffer(self.bytes, np.uint8)), length
+    def __init__(self, ids: list[int], texts_: list[bytes], length: int, base: int = 0, own: int = 0, until: int | None = None):
+        self.ids, self.bytes, self.length, self.base = np.array(ids, np.int64), b"".join(texts_), length, base
+        self.own, self.until = own, len(self.bytes) if until is None else until
+        self.edges = np.cumsum([0] + [len(t) for t in texts_])
+        self.ranks = Ranks(np.frombuffer(self.bytes, np.uint8))
+        self.w = length - ANCHOR + 1
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Anchors, from base, and their ranks."""
+    def of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edges, at, "right") - 1
+
+    def position(self, at: np.ndarray) -> np.ndarray:
+        return at - self.edges[self.of(at)] + self.base
+
+    def placed(self, found: list[np.ndarray]) -> np.ndarray:
+        """Positions here of sorted positions in each document, those of its own."""
+        at = np.concatenate([x + (e - self.base) for x, e in zip(found, self.edges[:-1].tolist(), strict=True)])
+        return at[(at >= self.own) & (at < self.until)]
+
+    def starts(self) -> np.ndarray:
+        """Where a string lies in one document."""
+        there = np.ones(max(0, len(self.bytes) - self.length + 1), bool)
+        for e in self.edges[1:-1].tolist():
+            there[max(0, e - self.length + 1) : e] = False
+        return there
+
+    def ranked(self) -> tuple[np.ndarray, np.ndarray]:
         h = self.ranks.of(ANCHOR)
-        at = anchors(h, self.length - ANCHOR + 1)
-        at = at[(at >= self.lo - self.base) & (at < self.hi - self.base)]
+        return h, least_ranks(h, self.w, self.starts())
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        h, least = self.ranked()
+        at = anchors(h, least, self.w)
+        at = at[(at >= self.own) & (at < self.until)]
         return at, h[at]
 
     def surroundings(self, at: np.ndarray) -> np.ndarray:
         """Ranks of what the strings around each anchor can hold, cut at the text's ends."""
-        reach = self.length - ANCHOR
-        lo, hi = np.maximum(at - reach, 0), np.minimum(at + self.length, len(self.bytes))
+        reach, doc = self.length - ANCHOR, self.of(at)
+        lo, hi = np.maximum(at - reach, self.edges[doc]), np.minimum(at + self.length, self.edges[doc + 1])
         whole = hi - lo == self.length + reach
         out = np.empty(len(at), np.uint64)
         if whole.any():
@@ -123,22 +155,62 @@ class Slice:
             out[i] = xxhash.xxh3_64_intdigest(self.bytes[lo[i] : hi[i]] + bytes([at[i] - lo[i]]))
         return out
 
-    def reaching(self, at: np.ndarray, left: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks of the bytes from left before each anchor to half of what is missing to LENGTH, and which are there."""
-        h = self.ranks.of(ANCHOR + half(self.length))
-        from_ = at - left
-        there = (from_ >= 0) & (from_ < len(h))
-        return mix(h[np.where(there, from_, 0)] + np.uint64(left)) if len(h) else np.zeros(len(at), np.uint64), there
+    def reaching(self, at: np.ndarray, left: int) -> np.ndarray:
+        """Ranks of the bytes from left before each anchor to half of what is missing to LENGTH; 0 where the text ends before."""
+        size, doc = ANCHOR + half(self.length), self.of(at)
+        there = (at - left >= self.edges[doc]) & (at - left + size <= self.edges[doc + 1])
+        out = np.zeros(len(at), np.uint64)
+        if there.any():
+            out[there] = np.maximum(mix(self.ranks.raw(size)[at[there] - left] + np.uint64(left)), np.uint64(1))
+        return out
+
+    def strings(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Starts of strings whose anchor (of the smallest rank in them) has a shared rank to the left, or, where they don't reach
+        over that, to the right."""
+        h, least = self.ranked()
+        part, out = half(self.length), []
+        both = np.intersect1d(left, right, assume_unique=True)
+        for at, offsets in ((left, range(part + 1, self.w)), (right, range(part)), (both, [part])):
+            start = (at[:, None] - np.array(offsets)[None, :]).ravel()
+            anchor = np.repeat(at, len(offsets))
+            there = (start >= 0) & (start < len(least))
+            start, anchor = start[there], anchor[there]
+            out.append(start[least[start] == h[anchor]])
+        return np.unique(np.concatenate(out))
+
+    def string_ranks(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the strings at some starts 64 bits and 32 bits more, from the ranks of their parts."""
+        h = self.ranks.raw(self.length)[start]
+        a, k = self.ranks.raw(ANCHOR), half(self.length)
+        b = self.ranks.raw(k)
+        parts = a[start] + b[start + ANCHOR] * _SALT + b[start + self.length - k] * _MUL
+        return mix(h).view(np.int64), (mix(parts ^ _SALT) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def half(length: int) -> int:
     return (length - ANCHOR) // 2
 
 
-def slices(t: bytes, length: int) -> Iterator[Slice]:
-    if len(t) >= length:
-        for lo in range(0, len(t), SLICE):
-            yield Slice(t, lo, length)
+def stretches(rows: list[tuple], length: int) -> Iterator[tuple[Stretch, list[tuple]]]:
+    """Stretches of about GROUP bytes of rows (doc_id, text, ...), with the rows; long texts in parts of SLICE bytes. Texts below
+    LENGTH are left out."""
+    group, held = [], 0
+    for row in rows:
+        t = row[1]
+        if len(t) < length:
+            continue
+        if len(t) > SLICE:
+            for lo in range(0, len(t), SLICE):
+                base = max(0, lo - 2 * length)
+                yield Stretch([row[0]], [t[base : lo + SLICE + 2 * length]], length, base, lo - base, min(len(t), lo + SLICE) - base), [row]
+            continue
+        group.append(row)
+        held += len(t)
+        if held > GROUP:
+            yield Stretch([r[0] for r in group], [r[1] for r in group], length), group
+            group, held = [], 0
+    if group:
+        yield Stretch([r[0] for r in group], [r[1] for r in group], length), group
 
 
 # -- rounds of sorting -------------------------------------------------------------------
@@ -200,12 +272,8 @@ def _sorted(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", *by)
 
 
-def _rows_of(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """Positions by document, for rows in any order."""
-    order = np.argsort(doc, kind="stable")
-    doc, start = doc[order], start[order].astype("<i4")
-    at = runs(doc)
-    return batch_of(doc_id=doc[at].astype(np.int64), starts=pa.array([x.tobytes() for x in np.split(start, at[1:])] if len(doc) else [], pa.binary()))
+def _rows_of(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return batch_of(doc_id=doc, starts=pa.nulls(len(doc), pa.binary()), at=at.astype(np.int32))
 
 
 def _settled(b: pa.RecordBatch) -> tuple[pa.RecordBatch | None, dict[str, np.ndarray]]:
@@ -213,11 +281,11 @@ def _settled(b: pa.RecordBatch) -> tuple[pa.RecordBatch | None, dict[str, np.nda
     blobs = b.column(b.schema.get_field_index("starts"))
     aside = np.asarray(blobs.is_valid())
     cols = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names if n != "starts"}
-    passing = batch_of(doc_id=cols["doc_id"][aside], starts=blobs.filter(pa.array(aside))) if aside.any() else None
+    passing = batch_of(doc_id=cols["doc_id"][aside], starts=blobs.filter(pa.array(aside)), at=pa.nulls(int(aside.sum()), pa.int32())) if aside.any() else None
     return passing, {n: c[~aside] for n, c in cols.items()}
 
 
-_FOUND = "doc_id bigint, starts binary"
+_FOUND = "doc_id bigint, starts binary, at int"
 
 
 def _shared(batches):
@@ -258,7 +326,7 @@ def _doomed(batches):
             yield _rows_of(doc[hit], at[hit])
 
 
-_RANKED = "doc_id bigint, starts binary, at int, l bigint, r bigint"
+_RANKED = "doc_id bigint, starts binary, at int, open boolean, l bigint, r bigint"
 
 
 def _ranked(batches):
@@ -267,11 +335,11 @@ def _ranked(batches):
 
     def opened(rows):
         n = len(rows["key"])
-        return batch_of(doc_id=rows["doc_id"], starts=pa.nulls(n, pa.binary()), at=rows["at"].astype(np.int32), l=rows["l"], r=rows["r"])
+        return batch_of(doc_id=rows["doc_id"], starts=pa.nulls(n, pa.binary()), at=rows["at"].astype(np.int32), open=np.ones(n, bool), l=rows["l"], r=rows["r"])
 
     def doomed(found: pa.RecordBatch):
         n = found.num_rows
-        return batch_of(doc_id=found.column(0), starts=found.column(1), at=pa.nulls(n, pa.int32()), l=pa.nulls(n, pa.int64()), r=pa.nulls(n, pa.int64()))
+        return batch_of(doc_id=found.column(0), starts=found.column(1), at=found.column(2), open=np.zeros(n, bool), l=pa.nulls(n, pa.int64()), r=pa.nulls(n, pa.int64()))
 
     last, kept, several = None, None, None
     names = ("key", "sub", "doc_id", "at", "l", "r")
@@ -307,12 +375,24 @@ def _ranked(batches):
 # -- the four rounds -----------------------------------------------------------------------
 
 
-def _flushed(batches, buffer: Buffer, rows: Callable):
-    """Batches that rows(doc_id, text, ...) puts into the buffer, sent as it fills."""
+def _places(b: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    """Sorted positions of each row, from its lists of blobs (name) and of integers (name_at)."""
+    at = b.column(b.schema.get_field_index(f"{name}_at"))
+    ends, flat = at.offsets.to_numpy(), at.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    out = []
+    for k, blobs in enumerate(b.column(b.schema.get_field_index(name)).to_pylist()):
+        own = [np.frombuffer(x, "<i4").astype(np.int64) for x in blobs or ()]
+        out.append(np.unique(np.concatenate([flat[ends[k] : ends[k + 1]], *own])))
+    return out
+
+
+def _flushed(batches, length: int, buffer: Buffer, rows: Callable, *names: str):
+    """Batches that rows(stretch, positions of each of its documents by each of names) puts into the buffer, sent as it fills."""
     for b in batches:
-        more = [b.column(n).to_pylist() for n in b.schema.names if n not in ("doc_id", "text")]
-        for (i, t), *rest in zip(ids_and_bytes(b), *more, strict=True):
-            rows(i, t, *rest)
+        found = [_places(b, n) for n in names]
+        every = list(zip(*zip(*ids_and_bytes(b), strict=True), *found, strict=True)) if b.num_rows else []
+        for s, own in stretches(every, length):
+            rows(s, *([r[2 + k] for r in own] for k in range(len(names))))
             if buffer.held > BUFFER:
                 yield buffer.flush()
     if buffer.held:
@@ -323,40 +403,26 @@ def _sampled(length: int):
     def run(batches):
         buffer = Buffer(_settle_shared, {"key": np.int64, "_": np.int8, "doc_id": np.int64, "at": np.int32})
 
-        def rows(i, t):
-            for s in slices(t, length):
-                at, h = s.anchors()
-                buffer.add(h.view(np.int64), np.zeros(len(at), np.int8), np.full(len(at), i, np.int64), (at + s.base).astype(np.int32))
+        def rows(s: Stretch):
+            at, h = s.anchors()
+            buffer.add(h.view(np.int64), np.zeros(len(at), np.int8), s.ids[s.of(at)], s.position(at).astype(np.int32))
 
-        for b in _flushed(batches, buffer, rows):
+        for b in _flushed(batches, length, buffer, rows):
             yield b.drop_columns(["_"])
 
     return run
 
 
-def _positions(found) -> np.ndarray:
-    return np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in found])).astype(np.int64) if found else np.empty(0, np.int64)
-
-
-def _in_slice(s: Slice, at: np.ndarray) -> np.ndarray:
-    return at[(at >= s.lo) & (at < s.hi)] - s.base
-
-
 def _surrounded(length: int):
     def run(batches):
         buffer = Buffer(_settle_doomed, {"key": np.int64, "sub": np.int64, "doc_id": np.int64, "at": np.int32, "l": np.int64, "r": np.int64})
 
-        def rows(i, t, found):
-            at = _positions(found)
-            for s in slices(t, length):
-                x = _in_slice(s, at)
-                if not len(x):
-                    continue
-                sides = [s.reaching(x, left) for left in (half(length), 0)]
-                l, r = (np.where(there, np.maximum(h, np.uint64(1)), np.uint64(0)).view(np.int64) for h, there in sides)
-                buffer.add(s.ranks.of(ANCHOR)[x].view(np.int64), s.surroundings(x).view(np.int64), np.full(len(x), i, np.int64), (x + s.base).astype(np.int32), l, r)
+        def rows(s: Stretch, shared):
+            if len(at := s.placed(shared)):
+                sides = (s.reaching(at, left).view(np.int64) for left in (half(length), 0))
+                buffer.add(s.ranks.of(ANCHOR)[at].view(np.int64), s.surroundings(at).view(np.int64), s.ids[s.of(at)], s.position(at).astype(np.int32), *sides)
 
-        yield from _flushed(batches, buffer, rows)
+        yield from _flushed(batches, length, buffer, rows, "shared")
 
     return run
 
@@ -376,79 +442,45 @@ def _sides(batches):
         yield buffer.flush().drop_columns(["_"])
 
 
-def strings_left(s: Slice, doomed: np.ndarray, sides: np.ndarray) -> np.ndarray:
-    """Starts, from base, of strings of a slice whose anchor (the first of smallest rank in them) has not dropped out, unless they are
-    doomed with it. doomed: anchors that are with their surroundings; sides: twice the positions of shared ranks to the left, plus 1
-    to the right."""
-    h, w, part = s.ranks.of(ANCHOR), s.length - ANCHOR + 1, half(s.length)
-    least, at = _window(h, w, np.minimum), anchors(h, w)
-    start = np.arange(s.lo - s.base, min(len(least), s.hi - s.base))
-    k = np.searchsorted(at, start)
-    while (later := h[at[k]] != least[start]).any():
-        k[later] += 1
-    known, left, right = np.isin(at, doomed), np.isin(2 * at, sides), np.isin(2 * at + 1, sides)
-    offset = at[k] - start
-    return start[~known[k] & (left[k] | (offset < part)) & (right[k] | (offset > part))]
-
-
 def _strings(length: int):
     def run(batches):
         buffer = Buffer(_settle_doomed, {"key": np.int64, "sub": np.int32, "doc_id": np.int64, "at": np.int32})
 
-        def rows(i, t, doomed, sides):
-            doomed, sides = _positions(doomed), _positions(sides)
-            for s in slices(t, length):
-                x = strings_left(s, doomed - s.base, sides - 2 * s.base)
-                if len(x):
-                    h = s.ranks.raw(length)[x]
-                    sub = (mix(h ^ _SALT) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    buffer.add(mix(h).view(np.int64), sub ^ _check(s.bytes, x, length), np.full(len(x), i, np.int64), (x + s.base).astype(np.int32))
+        def rows(s: Stretch, sides):
+            left, right = (s.placed([x[x % 2 == side] // 2 for x in sides]) for side in (0, 1))
+            if len(left) + len(right) and len(at := s.strings(left, right)):
+                buffer.add(*s.string_ranks(at), s.ids[s.of(at)], s.position(at).astype(np.int32))
 
-        yield from _flushed(batches, buffer, rows)
+        yield from _flushed(batches, length, buffer, rows, "sides")
 
     return run
 
 
-def _check(data: bytes, at: np.ndarray, length: int) -> np.ndarray:
-    """32 bits more of the strings at some positions, by a sum of products of their bytes' own numbers."""
-    b = _TABLE[np.frombuffer(data, np.uint8)]
-    h = np.zeros(len(at), np.uint64)
-    for k in range(length):
-        h = h * _SALT + b[at + k]
-    return (mix(h) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _SALT)
-
-
 def _by_doc(found: DataFrame, name: str) -> DataFrame:
-    return stored(found.groupBy("doc_id").agg(F.collect_list("starts").alias(name)), name)
+    """Positions by document: settled ones as blobs (name), others as integers (name_at); stored."""
+    return stored(found.groupBy("doc_id").agg(F.collect_list("starts").alias(name), F.collect_list("at").alias(f"{name}_at")), name)
 
 
 def doomed_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, anchors and starts, stored: of each document that has any, anchors that are doomed with their
-    surroundings, and starts of other doomed strings (arrays of 32-bit integers as bytes)."""
+    surroundings, and starts of other doomed strings (each as lists of blobs of 32-bit integers, and of integers with _at)."""
     spark = docs.sparkSession
     rows = texts(docs).where("doc_id is not null")
     with text_batches(spark):
         sampled = rows.mapInArrow(_sampled(length), "key bigint, doc_id bigint, at int, starts binary")
         shared = _by_doc(_sorted(sampled, "doc_id").mapInArrow(_shared, _FOUND), "shared")
-        release(spark)
-        marked = picked(rows, shared, "doc_id", "ranked", lambda j: _sorted(j.select("doc_id", "text", "shared").mapInArrow(_surrounded(length), "key bigint, sub bigint, doc_id bigint, at int, l bigint, r bigint, starts binary"), "sub", "doc_id").mapInArrow(_ranked, _RANKED))
+        marked = picked(rows, shared, "doc_id", "ranked", lambda j: _sorted(j.select("doc_id", "text", "shared", "shared_at").mapInArrow(_surrounded(length), "key bigint, sub bigint, doc_id bigint, at int, l bigint, r bigint, starts binary"), "sub", "doc_id").mapInArrow(_ranked, _RANKED))
         drop_stored(shared)
-        release(spark)
-        anchors_ = _by_doc(marked.where("starts is not null").select("doc_id", "starts"), "anchors")
-        sides = marked.where("starts is null").select("doc_id", "at", "l", "r").mapInArrow(_sides, "key bigint, doc_id bigint, at int, starts binary")
+        anchors_ = _by_doc(marked.where("not open").select("doc_id", "starts", "at"), "anchors")
+        sides = marked.where("open").select("doc_id", "at", "l", "r").mapInArrow(_sides, "key bigint, doc_id bigint, at int, starts binary")
         sides = _by_doc(_sorted(sides, "doc_id").mapInArrow(_shared, _FOUND), "sides")
         drop_stored(marked)
-        release(spark)
-        open_ = sides.join(anchors_, "doc_id", "left").select("doc_id", "anchors", "sides")
-        own = picked(rows, open_, "doc_id", "strings", lambda j: _sorted(j.select("doc_id", "text", "anchors", "sides").mapInArrow(_strings(length), "key bigint, sub int, doc_id bigint, at int, starts binary"), "sub", "doc_id").mapInArrow(_doomed, _FOUND))
-        release(spark)
+        own = picked(rows, sides, "doc_id", "strings", lambda j: _sorted(j.select("doc_id", "text", "sides", "sides_at").mapInArrow(_strings(length), "key bigint, sub int, doc_id bigint, at int, starts binary"), "sub", "doc_id").mapInArrow(_doomed, _FOUND))
+        drop_stored(sides)
         starts = _by_doc(own, "starts")
-        found = stored(anchors_.join(starts, "doc_id", "full").select("doc_id", "anchors", "starts"), "doomed")
-    drop_stored(sides, own, anchors_, starts)
-    release(spark)
+        drop_stored(own)
+        found = stored(anchors_.join(starts, "doc_id", "full").select("doc_id", *(F.coalesce(c, F.array().cast(t)).alias(c) for n in ("anchors", "starts") for c, t in ((n, "array<binary>"), (f"{n}_at", "array<int>")))), "doomed")
+    drop_stored(anchors_, starts)
     return found
 
 
@@ -469,10 +501,10 @@ def _cut(length: int):
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         for b in batches:
             rows = []
-            for (i, t), a, s in zip(ids_and_bytes(b), b.column("anchors").to_pylist(), b.column("starts").to_pylist(), strict=True):
+            for (i, t), a, s in zip(ids_and_bytes(b), _places(b, "anchors"), _places(b, "starts"), strict=True):
                 gone, spans, kept = 0, 0, t
-                if a or s:
-                    mask = covered(len(t), _positions(a), _positions(s), length)
+                if len(a) or len(s):
+                    mask = covered(len(t), a, s, length)
                     gone = int(mask.sum())
                     spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
                     kept = np.frombuffer(t, np.uint8)[~mask].tobytes()
@@ -483,22 +515,23 @@ def _cut(length: int):
     return run
 
 
+_LISTS = ("anchors", "anchors_at", "starts", "starts_at")
 _CUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, kept (the bytes left), n_bytes, n_removed, n_spans and kept_sha256 of each document."""
     found = doomed_strings(docs, length)
-    return texts(docs).join(found, "doc_id", "left").select("doc_id", "text", "anchors", "starts").mapInArrow(_cut(length), _CUT)
+    none = (F.coalesce(c, F.array().cast("array<int>" if c.endswith("at") else "array<binary>")).alias(c) for c in _LISTS)
+    return texts(docs).join(found, "doc_id", "left").select("doc_id", "text", *none).mapInArrow(_cut(length), _CUT)
 
 
 def summary(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The same without kept. Only texts that lose something are moved."""
     found = doomed_strings(docs, length)
     with text_batches(docs.sparkSession):
-        cut = picked(texts(docs), found, "doc_id", "cut", lambda j: j.select("doc_id", "text", "anchors", "starts").mapInArrow(_cut(length), _CUT).drop("kept", "n_bytes").dropDuplicates(["doc_id"]))
+        cut = picked(texts(docs), found, "doc_id", "cut", lambda j: j.select("doc_id", "text", *_LISTS).mapInArrow(_cut(length), _CUT).drop("kept", "n_bytes").dropDuplicates(["doc_id"]))
     drop_stored(found)
-    release(docs.sparkSession)
     whole = texts(docs).select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("own"))
     zero = F.lit(0).cast("bigint")
     return whole.join(cut, "doc_id", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"))

@@ -68,6 +68,7 @@ def test_small_buffers_and_slices(monkeypatch):
     """Runs that cross tasks, batches, flushes of the buffer and slices of a text."""
     monkeypatch.setattr(substrings, "BUFFER", 40)
     monkeypatch.setattr(substrings, "SLICE", 64)
+    monkeypatch.setattr(substrings, "GROUP", 300)
     rows = corpus(3)
     found = in_process(rows, 7)
     want = brute(rows)
@@ -84,24 +85,29 @@ def in_process(rows, size):
     def by_doc(batches):
         out = {}
         for b in batches:
-            for i, x in zip(b.column("doc_id").to_pylist(), b.column("starts").to_pylist(), strict=True):
-                out.setdefault(i, []).append(x)
+            for i, x, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "starts", "at")), strict=True):
+                out.setdefault(i, ([], []))[x is None].append(at if x is None else x)
         return out
 
     def docs(**more):
-        for i, t in rows:
-            if all(i in m for m in more.values()) or not more:
-                yield pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, **{n: m.get(i) for n, m in more.items()}}], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), *((n, pa.list_(pa.binary())) for n in more)]))
+        fields = [("doc_id", pa.int64()), ("text", pa.string()), *((n + end, pa.list_(t)) for n in more for end, t in (("", pa.binary()), ("_at", pa.int32())))]
+        some = [{"doc_id": i, "text": t, **{n + end: m[i][k] for n, m in more.items() for k, end in enumerate(("", "_at"))}} for i, t in rows if all(i in m for m in more.values())]
+        for k in range(0, len(some), 5):
+            yield pa.RecordBatch.from_pylist(some[k : k + 5], pa.schema(fields))
 
     s = substrings
     shared = by_doc(s._shared(sort(s._sampled(50)(docs()), "doc_id")))
     ranked = pa.Table.from_batches(list(s._ranked(sort(s._surrounded(50)(docs(shared=shared)), "sub", "doc_id"))))
-    doomed = by_doc(ranked.filter(pc.is_valid(ranked["starts"])).to_batches())
-    open_ = ranked.filter(pc.is_null(ranked["starts"])).to_batches(max_chunksize=size)
+    doomed = by_doc(ranked.filter(pc.invert(ranked["open"])).to_batches())
+    open_ = ranked.filter(ranked["open"]).to_batches(max_chunksize=size)
     sides = by_doc(s._shared(sort(s._sides(open_), "doc_id")))
-    anchors = {i: doomed.get(i, []) for i in sides}
-    own = by_doc(s._doomed(sort(s._strings(50)(docs(anchors=anchors, sides=sides)), "sub", "doc_id")))
-    return {i: int(s.covered(len((t or "").encode()), s._positions(doomed.get(i)), s._positions(own.get(i)), 50).sum()) for i, t in rows}
+    own = by_doc(s._doomed(sort(s._strings(50)(docs(sides=sides)), "sub", "doc_id")))
+
+    def places(found):
+        return np.unique(np.concatenate([*(np.frombuffer(x, "<i4") for x in found[0]), np.array(found[1], np.int64)])).astype(np.int64)
+
+    none = ([], [])
+    return {i: int(s.covered(len((t or "").encode()), places(doomed.get(i, none)), places(own.get(i, none)), 50).sum()) for i, t in rows}
 
 
 def test_ranks_are_those_of_the_bytes():

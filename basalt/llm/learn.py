@@ -75,9 +75,9 @@ def fit_ridge(rows: DataFrame, n_in: int, n_features: int = 256, gamma: float |
 
     total = add_up(rows.select("x", "y").mapInArrow(sums, "pid int, i int, row binary"))
     gram, target = total[:, :-1], total[:, -1]
-    penalty = np.eye(len(gram)) * ridge * stat[0]
+    penalty = np.eye(len(gram)) * ridge * stat[0] / len(gram)  # grows with the rows, and is shared by the features
     penalty[-1, -1] = 0  # the intercept is free
-    coef = np.linalg.solve(gram + penalty / len(gram), target)
+    coef = np.linalg.solve(gram + penalty, target)
     return FourierRidge(model.mean, model.scale, model.w, model.b, coef)
 
 

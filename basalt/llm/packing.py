@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.llm.common import small_batches, stored, texts
+from basalt.llm.common import stored, text_batches, texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -120,7 +120,6 @@ _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigi
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
     path = tokenizer or default_tokenizer()
-    small_batches(docs.sparkSession, 500)
 
     def cut(batches):
         enc = _encoder(path)
@@ -286,7 +285,8 @@ def segments(patterns) -> dict[str, np.ndarray]:
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with sequence_id and offset; sequences are gapless from offset 0 and at most capacity long."""
-    cut = stored(pieces(docs, tokenizer, capacity), "pieces")
+    with text_batches(docs.sparkSession):
+        cut = stored(pieces(docs, tokenizer, capacity), "pieces")
     hist = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     at = segments(solve(hist, capacity))
     spark = docs.sparkSession

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import crc_mod, ids_and_bytes, small_batches, stored, texts
+from basalt.llm.common import crc_mod, ids_and_bytes, stored, text_batches, texts
 from basalt.llm.learn import FourierRidge, Isotonic, calibrate, fit_ridge, labelled
 
 _UPPER = bytes(range(65, 91))
@@ -52,7 +52,6 @@ def statistics(b: bytes) -> list[float]:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and x, its statistics."""
-    small_batches(docs.sparkSession, 1000)
 
     def run(batches):
         for b in batches:
@@ -78,17 +77,22 @@ def _raw(rows: DataFrame, model: FourierRidge, more: str = "") -> DataFrame:
 
 
 def fit(rows: DataFrame, labels: DataFrame) -> tuple[FourierRidge | None, Isotonic]:
-    """Both stages from the labelled rows whose crc32(doc_id) mod 3 is not 1. All of them count."""
+    """Both stages from the labelled rows whose crc32(doc_id) mod 3 is not 1. All of them count. The calibration is of scores
+    by models that did not see the row: one fitted where the remainder is 0 scores those of remainder 2, and the other way round."""
     train = stored(labelled(rows, labels, "quality").where(crc_mod(F.col("doc_id"), 3) != 1), "train")
     model = fit_ridge(train, len(STATISTICS))
     if model is None:
         return None, Isotonic(np.array([0.0]), np.array([0.5]))
-    return model, calibrate(_raw(train, model, "y int"))
+    folds = [train.where(crc_mod(F.col("doc_id"), 3) == k) for k in (0, 2)]
+    models = [fit_ridge(f, len(STATISTICS)) or model for f in folds]
+    unseen = _raw(folds[1], models[0], "y int").unionByName(_raw(folds[0], models[1], "y int"))
+    return model, calibrate(unseen)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs."""
-    rows = stored(with_statistics(docs), "statistics")
+    with text_batches(docs.sparkSession):
+        rows = stored(with_statistics(docs), "statistics")
     model, curve = fit(rows, labels)
     if model is None:
         scored = rows.select("doc_id", F.lit(0.5).alias("score"))

@@ -78,8 +78,39 @@ def generated_samples(ordinary_texts: DataFrame, n: int = 3000) -> DataFrame:
     return random.unionByName(pairs.select(F.explode(forms).alias("sample"), F.lit(0).alias("secret")))
 
 
+#: Items that a running fold joins at a time.
+_BLOCK = 256
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often use has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(items: Column, start: Column, step, kind: str) -> Column:
+    """An array (of type kind) of what step(state, item) gives as second for each item; its first is the next state. Joined in
+    blocks, then blocks: joining one by one would copy all of an array for each item."""
+
+    def one(state, item):
+        return _let(F.struct(*(c.alias(n) for c, n in zip(step(state["state"], item), ("state", "out"), strict=True))), lambda x: F.struct(x["state"].alias("state"), F.concat(state["out"], F.array(x["out"])).cast(kind).alias("out")))
+
+    def block(state, some):
+        done = F.aggregate(some, F.struct(state["state"].alias("state"), F.array().cast(kind).alias("out")), one)
+        return _let(done, lambda x: F.struct(x["state"].alias("state"), F.concat(state["out"], F.array(x["out"])).cast(f"array<{kind}>").alias("out")))
+
+    def whole(xs):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _BLOCK).cast("int")), lambda k: F.slice(xs, k * _BLOCK + 1, F.lit(_BLOCK)))
+        folded = F.aggregate(blocks, F.struct(start.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), block)
+        return F.when(F.size(xs) > 0, F.flatten(folded["out"])).otherwise(F.array().cast(kind))
+
+    return _let(items, whole)
+
+
+_SPAN = "struct<start:int,rank:int,end:int,m:string,v:string>"
+
+
 def _spans(text: Column, pattern: str, rank: int, keep=None) -> Column:
-    """Leftmost non-overlapping matches as an array of (start, rank, end, match), in code points.
+    """Leftmost non-overlapping matches as an array of (start, rank, end, m: the match, v: its value), in code points.
 
     The pieces between matches give the starts. Texts without a match skip both passes."""
     found = F.zip_with(
@@ -87,17 +118,25 @@ def _spans(text: Column, pattern: str, rank: int, keep=None) -> Column:
         F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1 if keep else 0)).alias("v")),
         lambda piece, m: F.struct(F.length(piece).alias("gap"), m["m"].alias("m"), m["v"].alias("v")),
     )
-    kind = "array<struct<start:int,rank:int,end:int,m:string,v:string>>"
-    walked = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("m"), x["v"].alias("v")))).cast(kind).alias("out"),
-        ),
-    )["out"]
+
+    def step(at, x):
+        end = at + x["gap"] + F.length(x["m"])
+        return end, F.struct((at + x["gap"]).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["m"].alias("m"), x["v"].alias("v"))
+
+    walked = _running(found, F.lit(0), step, f"array<{_SPAN}>")
     kept = F.filter(walked, keep) if keep else walked
-    return F.when(text.rlike(pattern), kept).otherwise(F.array().cast(kind))
+    return F.when(text.rlike(pattern), kept).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+
+def _free(runs: Column, base: Column) -> Column:
+    """The runs that no base span overlaps: none before ends after their start, none after starts before their end. Two passes
+    over all spans in order of starts."""
+    kind = f"array<struct<s:{_SPAN},free:boolean>>"
+    is_base = lambda s: s["rank"] < 3
+    ahead = _running(F.array_sort(F.concat(base, runs)), F.lit(-1), lambda end, s: (F.when(is_base(s), F.greatest(end, s["end"])).otherwise(end), F.struct(s.alias("s"), (is_base(s) | (end <= s["start"])).alias("free"))), kind)
+    back = _running(F.reverse(ahead), F.lit(2**31 - 1), lambda start, x: (F.when(is_base(x["s"]), F.least(start, x["s"]["start"])).otherwise(start), F.struct(x["s"].alias("s"), (x["free"] & ~is_base(x["s"]) & (start >= x["s"]["end"])).alias("free"))), kind)
+    alone = F.transform(F.filter(back, lambda x: x["free"]), lambda x: x["s"])
+    return F.when((F.size(base) == 0) | (F.size(runs) == 0), runs).otherwise(alone)
 
 
 def is_random(s: Column, model: MarkovPair) -> Column:
@@ -130,7 +169,8 @@ def scan(docs: DataFrame, model: MarkovPair) -> DataFrame:
         _spans(t, RANDOM, 3).alias("runs"),
     )
     base = base.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])) & is_random(r["m"], model))
+    base = base.withColumn("free", _free(F.col("runs"), F.col("base")))
+    free = F.filter("free", lambda r: is_random(r["m"], model))
     return base.select("doc_id", "assign", "access", "hex", "base", F.array_sort(F.concat(F.col("base"), free)).alias("found"))
 
 

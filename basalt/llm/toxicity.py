@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import crc_mod, small_batches, stored, texts
+from basalt.llm.common import crc_mod, stored, text_batches, texts
 from basalt.llm.learn import Isotonic, calibrate, labelled
 
 #: Labelled rows that the lexicon is learned from: those of smallest hash. Calibration uses all of them.
@@ -279,14 +279,14 @@ def _raw(rows: DataFrame, terms, weights, more: str = "") -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame, lexicon_rows: int = LEXICON_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs. Labels of rows whose crc32(doc_id) mod 5 is 0
     are never read. Each text is read twice: lexicon_rows of them to learn terms, all of them to score."""
-    small_batches(docs.sparkSession, 1000)
     rows = texts(docs)
     known = labels.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id").cast("bigint"), 5) != 0))
     some = known.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(lexicon_rows)
     sample = stored(rows.join(F.broadcast(stored(some, "sample-labels")), "doc_id").select("text", F.col("toxic").alias("y")), "sample")
-    terms = learn_terms(sample)
-    weights = learn_weights(sample, terms) if terms else {}
-    raw = stored(_raw(rows, terms, weights), "raw")
+    with text_batches(docs.sparkSession):
+        terms = learn_terms(sample)
+        weights = learn_weights(sample, terms) if terms else {}
+        raw = stored(_raw(rows, terms, weights), "raw")
     curve = calibrate(labelled(raw, known, "toxic"), bins=2000, lo=0.0, hi=1.0) if terms else Isotonic(np.array([0.0]), np.array([0.5]))
 
     def run(batches):

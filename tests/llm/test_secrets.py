@@ -74,3 +74,17 @@ def test_empty_table(spark):
 
 def test_query(spark):
     assert QUERIES["op1_secret_scan"](spark, "/root/testdata/sf0.001").count() == 200
+
+
+def test_one_text_of_many_matches(spark):
+    """Spans of a text with more matches than a block of the running folds holds; random runs only where no other span is."""
+    model = secrets.MarkovPair((1000,) * (128 * 128), 0)  # every run counts as random
+    parts = ["password=abc%06d" % k if k % 3 else "deadbeef" * 3 + "%04x" % k for k in range(3000)] + ["Zq+" * 9, "token: " + "deadbeef" * 4]
+    text = "é ".join(parts)
+    row = secrets.summary(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()[0]
+    base = [("assign", m.start(), m.end()) for m in re.finditer(secrets.ASSIGN, text) if len(m[1]) >= 6] + [("hex", m.start(), m.end()) for m in re.finditer(secrets.HEX, text)]
+    runs = [("random", m.start(), m.end()) for m in re.finditer(secrets.RANDOM, text)]
+    free = [r for r in runs if not any(b[1] < r[2] and r[1] < b[2] for b in base)]
+    want = sorted(base + free, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+    assert row.n_assign == 2001 and row.n_hex == 1001 and free
+    assert row.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in want)

@@ -82,7 +82,7 @@ def ids_and_bytes(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
     yield from zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), (b or b"" for b in col.to_pylist()), strict=True)
 
 
-def text_batches(spark: SparkSession, size: int = 8 << 20):
+def text_batches(spark: SparkSession, size: int = 1 << 20):
     """Arrow batches bounded in bytes for as long as a step runs: texts can be long, and a worker holds a batch at a time."""
     return configured(spark, **{"spark.sql.execution.arrow.maxBytesPerBatch": f"{size}b"})
 

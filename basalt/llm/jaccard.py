@@ -44,7 +44,7 @@ WORDS = 5
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 20
 #: Rows that a task settles among themselves before the rest is sent.
-BUFFER = 1 << 19
+BUFFER = 1 << 18
 #: Sets and bytes of hashes of a block.
 BLOCK = 1024
 BLOCK_BYTES = 1 << 22
@@ -674,7 +674,7 @@ def _common_edges(blocks: DataFrame) -> DataFrame:
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """digests(docs); the sets that may have links; and node, label of the sets with links."""
     spark = docs.sparkSession
-    with text_batches(spark, 4 << 20):
+    with text_batches(spark):
         info = digests(docs)
         chosen = candidates(docs, info)
         sets = _ordered(docs, chosen)

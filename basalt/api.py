@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from basalt import types as bt
@@ -152,11 +153,24 @@ class Engine:
     def sum(self, name: str, col: int, wrap_u32: bool = False):
         return R.sum_column(self.view(name), col, wrap_u32).head()[0]
 
+    def extreme_df(self, name: str, fn: str, col: int) -> DataFrame:
+        """min or max of a column, from file footers where the table is an outside file and they hold it exactly."""
+        table = self.table(name)
+        if not table.managed and table.in_footers(col):
+            return table.extreme(fn, col)
+        return {"min": R.min_column, "max": R.max_column}[fn](self.view(name), col)
+
+    def _extreme(self, name: str, fn: str, col: int):
+        try:
+            return self.extreme_df(name, fn, col).head()[0]
+        except Py4JJavaError:  # a file without statistics
+            return {"min": R.min_column, "max": R.max_column}[fn](self.view(name), col).head()[0]
+
     def min(self, name: str, col: int):
-        return R.min_column(self.view(name), col).head()[0]
+        return self._extreme(name, "min", col)
 
     def max(self, name: str, col: int):
-        return R.max_column(self.view(name), col).head()[0]
+        return self._extreme(name, "max", col)
 
     def group_df(self, name: str, fn: str, key: int, value: int | None = None) -> DataFrame:
         return R.group_aggregate(self.view(name), fn, key, value)
@@ -191,7 +205,16 @@ class Engine:
         q = minisql.parse(sql)
         return minisql.build(q, self.view(q.table))
 
-    def sql_text(self, sql: str) -> str:
-        """Header and rows as tab-separated text."""
+    def sql_lines(self, sql: str) -> Iterable[str]:
+        """Header and rows as lines of tab-separated text, fetched as they are read. Wrong statements fail at once."""
         q = minisql.parse(sql)
-        return render.tsv(q, minisql.build(q, self.view(q.table), ordered=True))
+        return render.lines(q, minisql.build(q, self.view(q.table), ordered=True))
+
+    def sql_text(self, sql: str) -> str:
+        """All of sql_lines() as one string."""
+        return "".join(self.sql_lines(sql))
+
+    def sql_to_files(self, sql: str, folder: str) -> None:
+        """The result as tab-separated files with headers, written by the tasks: no row passes the driver, rows have no
+        order, and numbers are written in full. The folder must not exist."""
+        self.sql_df(sql).write.option("sep", "\t").option("header", True).csv(folder)

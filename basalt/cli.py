@@ -33,14 +33,14 @@ def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
     a = _parser().parse_args(argv)
     e = engine or Engine()
     if a.command == "repl":
-        return repl.run(e.sql_text)
+        return repl.run(e.sql_lines)
     if a.command == "serve":
-        with server.make_server(lambda: Engine(e.spark).sql_text, a.port) as s:
+        with server.make_server(lambda: Engine(e.spark).sql_lines, a.port) as s:
             print(f"listening on 127.0.0.1:{s.server_address[1]}", flush=True)
             s.serve_forever()
     try:
         if a.command == "query":
-            sys.stdout.write(e.sql_text(" ".join(a.sql)))
+            sys.stdout.writelines(e.sql_lines(" ".join(a.sql)))
         elif a.command == "create":
             e.create_table(a.path, a.columns)
         elif a.command == "insert":

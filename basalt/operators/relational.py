@@ -135,10 +135,16 @@ AGGREGATES = {
 }
 
 
+def scalar_aggregates(view: DataFrame, wanted: Sequence[tuple[str, int | None, str]]) -> DataFrame:
+    """One row; wanted holds (function, column index or None, name) for each value, all from one scan."""
+    for name, index, _ in wanted:
+        if name != "count" and not bt.numeric(_field(view, index)):
+            raise ValueError("aggregate functions require numeric columns")
+    return view.agg(*(AGGREGATES[name](None if name == "count" else column(view, index)).alias(alias) for name, index, alias in wanted))
+
+
 def scalar_aggregate(view: DataFrame, name: str, index: int | None, alias: str = "value") -> DataFrame:
-    if name != "count" and not bt.numeric(_field(view, index)):
-        raise ValueError("aggregate functions require numeric columns")
-    return view.agg(AGGREGATES[name](None if name == "count" else column(view, index)).alias(alias))
+    return scalar_aggregates(view, [(name, index, alias)])
 
 
 def group_aggregate(view: DataFrame, name: str, key: int, value: int | None = None, names=("key", "value")) -> DataFrame:

@@ -22,6 +22,8 @@ def rows_of(query: Query, df: DataFrame) -> Iterable[list[str]]:
         yield [cell(float(v)) if loose and v is not None else cell(v) for v in row]
 
 
-def tsv(query: Query, df: DataFrame) -> str:
-    lines = ["\t".join(df.columns), *("\t".join(r) for r in rows_of(query, df))]
-    return "\n".join(lines) + "\n"
+def lines(query: Query, df: DataFrame) -> Iterable[str]:
+    """Header and rows, each with its line end, as they are fetched: one partition is in driver memory at a time."""
+    yield "\t".join(df.columns) + "\n"
+    for r in rows_of(query, df):
+        yield "\t".join(r) + "\n"

@@ -1,7 +1,7 @@
 """One query for each operator of the engine, over the tables of a data folder, and the same in DuckDB SQL."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from basalt.api import Engine
 from basalt.operators import relational as R
 from basalt.operators.predicates import Predicate as P
+from basalt.sources.fs import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +38,17 @@ class _Tables:
         view = self[_SOURCE[column]]
         return view, R.table_schema(view).names.index(column)
 
+    def extreme(self, fn: str, column: str) -> DataFrame:
+        return self.engine.extreme_df(f"{self.dir}/{_SOURCE[column]}", fn, self.at(column)[1])
+
+    def new(self, name: str, kinds: Sequence[str]) -> str:
+        """An empty managed table of this query's own, in the folder all of the cluster shares; a second run starts it anew."""
+        spark = self.spark
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{shared.rstrip('/')}/basalt-{spark.sparkContext.applicationId}-{name}"
+        self.engine.create_table(path, kinds)
+        return path
+
     def ids(self, *rids: int) -> DataFrame:
         return self.spark.createDataFrame([(r,) for r in rids], f"{R.ROW_ID} bigint")
 
@@ -88,17 +100,70 @@ def project_rows(t):
     return R.project_rows(t["orders"], t.ids(5, 17, 4096, 14999), [1, 2])
 
 
-@_query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 25, 'ATLANTIS', 0")
+def _nations(t, name):
+    path = t.new(name, ["INT64", "STRING", "INT64"])
+    t.engine.insert_many(path, R.all_columns(t["nation"]))
+    return path
+
+
+_NATION = "n_nationkey AS c0, n_name AS c1, n_regionkey AS c2 FROM nation"
+
+
+@_query(f"SELECT {_NATION} UNION ALL SELECT 25, 'ATLANTIS', 0")
 def insert_visible(t):
-    nation = R.all_columns(t["nation"])
-    return nation.union(t.spark.createDataFrame([(25, "ATLANTIS", 0)], nation.schema))
+    path = _nations(t, "insert")
+    t.engine.insert(path, (25, "ATLANTIS", 0))
+    return R.all_columns(t.engine.view(path))
 
 
-@_query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 5 <> 0")
+@_query("SELECT o_orderkey AS rid, o_orderkey AS c0, o_custkey AS c1 FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey <> 7")
 def delete_rows(t):
-    live = t["orders"]
-    dead = R.row_ids(live).filter(F.col(R.ROW_ID) % 5 == 0)
-    return R.project(live.join(dead, R.ROW_ID, "left_anti"), [0, 1])
+    path = t.new("delete", ["INT64", "INT64"])
+    t.engine.insert_many(path, R.project(t["orders"], [0, 1]))
+    live = t.engine.view(path)
+    t.engine.delete_many(path, R.row_ids(live.filter(F.col("c0") % 5 == 0)))
+    t.engine.delete(path, 7)
+    return _rid(t.engine.view(path))
+
+
+@_query(f"SELECT {_NATION} WHERE n_nationkey <> 3 UNION ALL SELECT 26, 'LEMURIA', 1")
+def flush_reopen(t):
+    """Checkpointed, changed again, and read by an engine that knows the table from its files alone."""
+    path = _nations(t, "flush")
+    t.engine.delete(path, 3)
+    t.engine.flush(path)
+    t.engine.insert(path, (26, "LEMURIA", 1))
+    return R.all_columns(Engine(t.spark).view(path))
+
+
+@_query(f"SELECT {_NATION} UNION ALL SELECT 25, 'ATLANTIS', 0")
+def recover_torn_log(t):
+    """An operation whose text is torn, and all after it, never happened."""
+    path = _nations(t, "recover")
+    for row in ((25, "ATLANTIS", 0), (26, "LEMURIA", 1), (27, "MU", 2)):
+        t.engine.insert(path, row)
+    Store(t.spark).write(f"{path}.tbl/log/v=0/{2:012d}.op", "torn", replace=True)
+    return R.all_columns(Engine(t.spark).view(path))
+
+
+@_query("SELECT event_id AS c0, value AS c1, CAST(value AS FLOAT) AS c2, event_type AS c3, event_id AS c4 FROM events WHERE event_type = 'click' AND event_id BETWEEN 10 AND 5000")
+def typed_table(t):
+    """Every declared type, written and scanned by a predicate over two of them."""
+    path = t.new("typed", ["UINT32", "DOUBLE", "FLOAT", "STRING", "INT64"])
+    ev = t["events"]
+    t.engine.insert_many(path, ev.select("event_id", "value", "value", "event_type", "event_id").toDF("a", "b", "c", "d", "e"))
+    view = t.engine.view(path)
+    found = R.where_and(view, [P.eq_string(3, "click"), P.between(0, 10, 5000)])
+    return R.project_rows(view, found, range(5))
+
+
+@_query("SELECT 'min' AS fn, 4294967295 AS value UNION ALL SELECT 'max', 0 UNION ALL SELECT 'sum', 0")
+def typed_empty(t):
+    """Aggregates of an empty UINT32 column: MIN is its largest number, MAX its smallest."""
+    view = t.engine.view(t.new("empty", ["UINT32"]))
+    parts = [R.min_column(view, 0), R.max_column(view, 0), R.sum_column(view, 0)]
+    a, b, c = (p.select(F.lit(fn).alias("fn"), F.col("value").cast("bigint").alias("value")) for fn, p in zip(("min", "max", "sum"), parts, strict=True))
+    return a.union(b).union(c)
 
 
 @_query("SELECT o_orderkey AS rid FROM orders WHERE o_custkey = 17")
@@ -201,12 +266,12 @@ def sum_col_wrap_u32(t):
 
 @_query("SELECT MIN(l_orderkey) AS m FROM lineitem")
 def min_col(t):
-    return R.min_column(*t.at("l_orderkey")).toDF("m")
+    return t.extreme("min", "l_orderkey").toDF("m")
 
 
 @_query("SELECT MAX(l_orderkey) AS m FROM lineitem")
 def max_col(t):
-    return R.max_column(*t.at("l_orderkey")).toDF("m")
+    return t.extreme("max", "l_orderkey").toDF("m")
 
 
 def _where_a(t, fn, column=None, out="m"):
@@ -242,9 +307,7 @@ def agg_avg_where(t):
 
 @_query("SELECT COUNT(*) AS n, CAST(COALESCE(SUM(o_custkey), 0) AS BIGINT) AS s, COALESCE(AVG(o_custkey), 0) AS a, MIN(o_custkey) AS mn, MAX(o_custkey) AS mx FROM orders WHERE FALSE")
 def agg_empty_input(t):
-    none = t["orders"].filter(F.lit(False))
-    key = R.column(none, 1)
-    return none.agg(*(R.AGGREGATES[fn](key).alias(out) for fn, out in (("count", "n"), ("sum", "s"), ("avg", "a"), ("min", "mn"), ("max", "mx"))))
+    return R.scalar_aggregates(t["orders"].filter(F.lit(False)), [("count", None, "n"), ("sum", 1, "s"), ("avg", 1, "a"), ("min", 1, "mn"), ("max", 1, "mx")])
 
 
 def _group(t, fn, key, value=None):

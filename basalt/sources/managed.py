@@ -6,7 +6,9 @@
     <name>.tbl/log/v=N/<seq>.ok    commit marker; an operation counts from then on
     <name>.tbl/log/v=N/<seq>.rows  Parquet rows (or row IDs) of a batch operation
 
-The live view is base plus committed inserts, less committed deletes. Recovery reads the log in
+After LOG_LIMIT operations the log is folded into the next base by itself, which bounds what recovery
+reads and what a table keeps in driver memory. The files of the checkpoint before stay until the next
+one, for DataFrames taken before it. The live view is base plus committed inserts, less committed deletes. Recovery reads the log in
 order and stops at the first operation that is unmarked or damaged. Row IDs are append ordinals:
 dense, from 0, never given twice; next_rid is stored because live rows alone don't tell it.
 """
@@ -28,6 +30,10 @@ from basalt.operators.relational import ROW_ID
 from basalt.sources.fs import Store
 
 
+#: Operations in the log before an automatic checkpoint.
+LOG_LIMIT = 1000
+
+
 def _seal(op: dict) -> str:
     body = json.dumps(op, sort_keys=True)
     return json.dumps({"crc": zlib.crc32(body.encode()), "op": body})
@@ -126,6 +132,8 @@ class ManagedTable:
         self.store.write(f"{stem}.ok", "")
         self._seq += 1
         self._apply(op)
+        if self._seq >= LOG_LIMIT:
+            self.flush()
 
     # -- rows ----------------------------------------------------------------
 
@@ -156,8 +164,8 @@ class ManagedTable:
         staged = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_mid", T.LongType())])).parquet(aside)
         first, count = self.next_rid, staged.count()
         dense_ordinals(staged, "_mid", ROW_ID, first).select(*self.full.names).write.mode("overwrite").parquet(f"{self._log}/{rows_at}")
-        self._commit({"kind": "insert_rows", "rid": first, "count": count, "rows": rows_at})
         self.store.delete(aside)
+        self._commit({"kind": "insert_rows", "rid": first, "count": count, "rows": rows_at})
         return first
 
     def delete(self, rid: int) -> None:
@@ -204,5 +212,5 @@ class ManagedTable:
         self.store.mkdirs(f"{self.root}/log/v={new}")
         self.store.write(f"{self.root}/MANIFEST", json.dumps({"version": new, "next_rid": self.next_rid, "types": [k.value for k in self.kinds]}), replace=True)
         self._load()
-        self.store.delete(f"{self.root}/log/v={old}")
-        self.store.delete(f"{self.root}/base/v={old}")
+        for part in ("log", "base"):
+            self.store.delete(f"{self.root}/{part}/v={old - 1}")

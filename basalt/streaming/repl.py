@@ -20,7 +20,7 @@ def split_statements(text: str) -> tuple[list[str], str]:
 
 
 def run(execute, source: TextIO = sys.stdin, out: TextIO = sys.stdout, err: TextIO = sys.stderr) -> int:
-    """Feeds statements to execute(sql) -> text until .quit or the end; 1 if that cuts a statement off."""
+    """Feeds statements to execute(sql) -> text or lines of it until .quit or the end; 1 if that cuts a statement off."""
     out.write(HELP)
     pending = ""
     while True:
@@ -47,6 +47,6 @@ def run(execute, source: TextIO = sys.stdin, out: TextIO = sys.stdout, err: Text
         statements, pending = split_statements(f"{pending}\n{line}" if pending else line)
         for sql in statements:
             try:
-                out.write(execute(sql))
+                out.writelines(execute(sql))
             except (ValueError, RuntimeError) as e:
                 err.write(f"repl error: {e}\n")

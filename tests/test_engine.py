@@ -7,6 +7,7 @@ import pytest
 
 from basalt import ColType, Engine, EngineError, Predicate
 from basalt.cli import main
+from basalt.sources import managed
 from basalt.streaming import repl, server
 
 P = Predicate
@@ -172,6 +173,20 @@ def test_recovery_stops_at_the_first_bad_operation(e, spark, tmp_path, damage):
     assert again.insert(t, [58]) == 1
 
 
+def test_the_log_folds_itself(e, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(managed, "LOG_LIMIT", 3)
+    t = make(e, tmp_path / "t", 1, [])
+    held = None
+    for v in range(7):
+        assert e.insert(t, [v]) == v
+        held = held or e.view(t)
+    e.delete(t, 0)
+    assert sorted(p.name for p in (tmp_path / "t.tbl/log").iterdir() if not p.name.startswith(".")) == ["v=1", "v=2"]
+    again = Engine(spark)
+    assert again.table(t).recovered == 2 and again.sum(t, 0) == 21 and again.rows_recorded(t) == 7
+    assert held.count() == 1
+
+
 def test_create_over_a_table_resets_it(e, tmp_path):
     t = make(e, tmp_path / "t", 1, [(1,)])
     make(e, tmp_path / "t", 2, [])
@@ -264,3 +279,39 @@ def test_several_files_have_dense_row_ids(e, spark, tmp_path):
     assert e.fetch_row(t, e.scan_eq(t, 0, 77)[0]) == [77]
     with pytest.raises(EngineError):
         e.insert(t, [1])
+
+
+def test_bulk_text_sink(e, spark, people, tmp_path):
+    e.sql_to_files(f"SELECT c0 FROM '{people}' WHERE c0 BETWEEN 0 AND 4000000000", str(tmp_path / "out"))
+    back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out"))
+    assert back.columns == ["c0"] and back.count() == e.live_rows(people)
+
+
+def test_server_answers_line_by_line():
+    def fails_late(_):
+        yield "c0\n"
+        yield "1\n"
+        raise RuntimeError("lost")
+
+    def fails_early(_):
+        yield "c0\n"
+        raise RuntimeError("bad\nmore")
+
+    assert "".join(server.answer(lambda _: ["c0\n"], "q")[0]) == "OK\nc0\nEND\n"
+    assert "".join(server.answer(fails_early, "q")[0]) == "ERR\tbad\nEND\n"
+    got = []
+    with pytest.raises(RuntimeError):
+        got.extend(server.answer(fails_late, "q")[0])
+    assert got == ["OK\n", "c0\n", "1\n"]
+
+
+def test_extremes_come_from_footers(e, spark, tmp_path):
+    at = str(tmp_path / "o")
+    spark.range(-5, 995, 1, 3).selectExpr("id AS a", "id / 2.0 AS b", "CAST(NULL AS INT) AS n").write.parquet(f"{at}.parquet")
+    assert (e.min(at, 0), e.max(at, 0), e.min(at, 1), e.min(at, 2)) == (-5, 994, -2.5, None)
+    assert "PushedAggregation: [MIN" in e.extreme_df(at, "min", 0)._jdf.queryExecution().toString()
+    bare = str(tmp_path / "bare")
+    spark.range(9).write.option("parquet.column.statistics.enabled", "false").parquet(f"{bare}.parquet")
+    assert (e.min(bare, 0), e.max(bare, 0)) == (0, 8)
+    with pytest.raises(ValueError):
+        e.min(at, 3)

@@ -35,6 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -615,36 +616,64 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 _BLOCK = "block bigint, label bigint, least bigint, most bigint, labels binary, sizes binary, hashes binary, tokens array<bigint>"
 
 
+def _placed(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, label, block), and the stored table it reads: rows of node, label, bytes in the order of label and node, cut where BLOCK sets or BLOCK_BYTES are full.
+    Tasks add up weights for themselves and store them; the driver gets one total a task, so the number
+    of blocks follows the sets and not the partitions."""
+
+    def run(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            weight = np.maximum(1, -(-b.column("bytes").to_numpy() * BLOCK // BLOCK_BYTES))
+            ends = at + np.cumsum(weight)
+            if len(ends):
+                at = int(ends[-1])
+            yield batch_of(node=b.column("node"), label=b.column("label"), part=np.full(len(ends), part, np.int64), start=ends - weight, end=ends)
+
+    spark = slim.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = slim.repartitionByRange(parts, "label", "node").sortWithinPartitions("label", "node")
+    rows = stored(ordered.mapInArrow(run, "node bigint, label bigint, part bigint, start bigint, end bigint"), "placed")
+    before, at = [], 0
+    for part, total in sorted(tuple(r) for r in rows.groupBy("part").agg(F.max("end")).collect()):
+        before.append((part, at))
+        at += total
+    offsets = spark.createDataFrame(before, "part bigint, before bigint")
+    return rows.join(offsets, "part").select("node", "label", F.floor((F.col("before") + F.col("start")) / BLOCK).alias("block")), rows
+
+
 def _common_blocks(sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Blocks, by label, of the sets whose prefix has enough common shingles to link by them alone: label where all are of one
     (null otherwise), sizes, sets, and the common shingles of the prefixes; stored."""
 
     def run(batches):
-        rows, held = [], 0
+        rows, at = [], None
 
         def close():
             sizes = [r[2] for r in rows]
             own = {r[1] for r in rows}
             tokens = np.unique(np.concatenate([np.frombuffer(r[4], "<i8") for r in rows]))
-            name = xxhash.xxh3_64_intdigest(np.array([r[0] for r in rows], "<i8").tobytes()) >> 1
-            cols = [[name], [rows[0][1] if len(own) == 1 else None], [min(sizes)], [max(sizes)], *([np.array([r[i] for r in rows], "<i8").tobytes()] for i in (1, 2)), [b"".join(r[3] for r in rows)], [tokens]]
+            cols = [[at], [rows[0][1] if len(own) == 1 else None], [min(sizes)], [max(sizes)], *([np.array([r[i] for r in rows], "<i8").tobytes()] for i in (1, 2)), [b"".join(r[3] for r in rows)], [tokens]]
             kinds = [*[pa.int64()] * 4, *[pa.binary()] * 3, pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in _BLOCK.split(", ")])
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("node", "label", "n", "hashes", "common")), strict=True):
-                if rows and (len(rows) >= BLOCK or held > BLOCK_BYTES or r[1] != rows[-1][1] and len(rows) >= BLOCK // 8):
+            for block, *r in zip(*(b.column(c).to_pylist() for c in ("block", "node", "label", "n", "hashes", "common")), strict=True):
+                if rows and block != at:
                     yield close()
-                    rows, held = [], 0
+                    rows = []
+                at = block
                 rows.append(r)
-                held += len(r[3])
         if rows:
             yield close()
 
     enough = sets.where(F.length("common") / 8 >= _least(F.col("n")))
+    place, rows = _placed(_labelled(enough, labels, F.length("hashes").cast("bigint").alias("bytes")))
+    some = enough.join(place, "node").select("block", "node", "label", "n", "hashes", "common")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = _labelled(enough, labels, "n", "hashes", "common").repartitionByRange(parts, "label", "node").sortWithinPartitions("label", "node")
-    return stored(some.mapInArrow(run, _BLOCK), "blocks")
+    out = stored(some.repartition(parts, "block").sortWithinPartitions("block", "label", "node").mapInArrow(run, _BLOCK), "blocks")
+    drop_stored(rows)
+    return out
 
 
 def _common_edges(blocks: DataFrame) -> DataFrame:
@@ -668,7 +697,9 @@ def _common_edges(blocks: DataFrame) -> DataFrame:
     apart = F.col("labelx").isNull() | F.col("labely").isNull() | (F.col("labelx") != F.col("labely"))
     pairs = x.join(y, "token").where((F.col("blockx") <= F.col("blocky")) & like & apart).select(F.col("blockx").alias("x"), F.col("blocky").alias("y")).distinct()
     bx, by = (blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}{s}") for c in ("labels", "sizes", "hashes"))) for s in "xy")
-    return pairs.join(bx, "x").join(by, "y").mapInArrow(run, "a bigint, b bigint").distinct()
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.join(bx, "x").join(by, "y").repartition(parts, "x", "y")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -4,8 +4,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basalt.llm import jaccard
+from basalt.llm.common import configured
 from basalt.llm.queries import QUERIES
 
 
@@ -182,3 +184,13 @@ def test_links_match_brute_force(spark, tile, monkeypatch):
     rows += [(10_000 + k, " ".join(chain[4 * k : 4 * k + 50])) for k in range(3)]
     got = {r.doc_id: (r.class_id, r.class_size, r.n_links) for r in jaccard.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_links(rows) and [got[10_000 + k][2] for k in range(3)] == [1, 2, 1]
+
+
+def test_blocks_follow_the_sets_not_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    tokens = np.arange(8, dtype="<i8").tobytes()
+    sets = spark.createDataFrame([(i, 8, tokens, tokens) for i in range(40)], "node bigint, n bigint, hashes binary, common binary")
+    labels = spark.createDataFrame([(i, i // 20) for i in range(40)], "node bigint, label bigint")
+    with configured(spark, **{"spark.sql.shuffle.partitions": "13"}):
+        got = sorted(tuple(r) for r in jaccard._common_blocks(sets, labels).select("block", "label", F.length("sizes") / 8).collect())
+    assert got == [(0, 0, 16), (1, None, 16), (2, 1, 8)]

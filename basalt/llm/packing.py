@@ -5,6 +5,8 @@ pieces fit depends on their lengths alone, so the search sees a histogram: at mo
 whatever the data's size. Bin completion takes the largest length left, enumerates undominated fillings
 of the rest of its sequence, and applies the best as often as the counts allow. Best-fit solutions are
 the incumbents; the branch and bound goes on to other fillings only while waste above the lower bound is left.
+The bound is the largest of the bounds by total length, by items that cannot share a sequence, and by dual
+feasible functions (Martello and Toth's L2; Fekete and Schepers).
 
 A piece's place follows from its length and its rank among pieces of that length. Ranks are dealt within
 parts of bounded size, so no task gets all pieces of a common length.
@@ -140,22 +142,80 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 # -- the search ------------------------------------------------------------------
 
 
+@functools.lru_cache(maxsize=4)
+def _weights(capacity: int, kinds: int = 20) -> np.ndarray:
+    """Row k: k * capacity times the dual feasible value of each length; row 0: capacity times its share of a sequence.
+
+    Value k is floor((k + 1) x / capacity) / k, or the share itself where that division is even."""
+    x = np.arange(capacity + 1, dtype=np.int64)
+    rows = [x]
+    for k in range(1, kinds + 1):
+        even = (k + 1) * x % capacity == 0
+        rows.append(np.where(even, k * x, (k + 1) * x // capacity * capacity))
+    return np.stack(rows)
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: for every e up to half a sequence, lengths below e count nothing, those above
+    capacity - e a whole sequence, the others each of the values of _weights."""
+    if not counts:
+        return 0
+    weights = _weights(capacity)
+    n = np.zeros(capacity + 1, np.int64)
+    n[list(counts)] = list(counts.values())
+    sums = np.zeros((len(weights), capacity + 2), np.int64)
+    np.cumsum(weights * n, axis=1, out=sums[:, 1:])
+    number = np.concatenate([[0], np.cumsum(n)])
+    e = np.arange(0, capacity // 2 + 1)
+    whole = number[-1] - number[capacity - e + 1]
+    middle = sums[:, capacity - e + 1] - sums[:, e]
+    unit = np.array([capacity, *(k * capacity for k in range(1, len(weights)))])[:, None]
+    return int((whole - (-middle // unit)).max())
+
+
+def _spread(sums: int, by: int) -> int:
+    """Bits of sums, each also at the `by` places above."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        sums |= sums << step
+        done += step
+    return sums
+
+
+def dominated(filling: tuple[tuple[int, int], ...], waste: int, counts: dict[int, int], available: int) -> bool:
+    """Whether a piece that is left may take the place of nothing, of a shorter piece of the filling, or of several pieces
+    together no longer than it. available: a bit for each length in counts."""
+    ones, several = 1, 0  # bits: nothing and single pieces; sums of two pieces or more
+    for x, n in filling:
+        if counts[x] == n:
+            available &= ~(1 << x)
+        for _ in range(n):
+            several |= (several << x) | ((ones & ~1) << x)
+            ones |= 1 << x
+    return bool(available & (_spread(ones << 1, waste - 1) if waste else 0) or available & _spread(several, waste))
+
+
 def fillings(room: int, counts: dict[int, int], lengths: list[int], limit: int = 400, every: bool = False) -> tuple[list[tuple[tuple[int, int], ...]], bool, int]:
     """Fillings ((length, how often), ...) of room, least waste first, larger pieces first among equals; whether these
     are all; and the steps taken.
 
-    A filling is left out if another length fits beside it: the fuller one dominates it. Enumeration takes
+    Dominated fillings are left out, unless the enumeration ended before it met an undominated one. Enumeration takes
     longer lengths first and stops after limit fillings or 20 * limit steps, or, unless every is set, at once when nothing is wasted."""
     found: list[tuple[int, tuple]] = []
     fit = [x for x in lengths if x <= room]
     smallest = fit[-1] if fit else 0
+    available = sum(1 << x for x in fit)
+    spare: list[tuple[int, tuple]] = []
     steps = [0]
 
     def go(k: int, left: int, chosen: tuple) -> bool:
         steps[0] += 1
         if left == 0 or not fit or left < smallest or k == len(fit):
-            if not any(x <= left and counts[x] > dict(chosen).get(x, 0) for x in (fit if left else ())):
+            if not dominated(chosen, left, counts, available):
                 found.append((left, chosen))
+            elif not found and (not spare or left < spare[0][0]):
+                spare[:] = [(left, chosen)]
             return left == 0 and not every or len(found) >= limit or steps[0] > 20 * limit
         x = fit[k]
         if x > left:  # skip to the first length that fits
@@ -177,7 +237,7 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], limit: int =
         stopped = go(0, room, ())
     finally:
         sys.setrecursionlimit(old)
-    best = [c for _, c in sorted(found, key=lambda f: (f[0], [-x for x, n in f[1] for _ in range(min(n, 8))]))]
+    best = [c for _, c in sorted(found or spare, key=lambda f: (f[0], [-x for x, n in f[1] for _ in range(min(n, 8))]))]
     return best or [()], not stopped, steps[0]
 
 
@@ -227,11 +287,10 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000,
     Depth first over the fillings of the largest length left, fewest sequences first found by best fit. A
     branch ends when its waste so far leaves it no better than the incumbent. The first pass takes `branches`
     fillings a node; each next pass three times as many, out of three times as long an enumeration, until no filling
-    was left out. The search ends at the lower bound ceil(total / capacity) or after `nodes` nodes in all passes; 8000
+    was left out. The search ends at the lower bound or after `nodes` nodes in all passes; 400
     steps of enumeration count as a node."""
     counts = {x: n for x, n in counts.items() if n}
-    total = sum(x * n for x, n in counts.items())
-    bound = -(-total // capacity)
+    bound = lower_bound(counts, capacity)
     best = min((f(counts, capacity) for f in (best_fit, longest_first)), key=lambda p: sum(t for _, t in p))
     best_n = sum(t for _, t in best)
     seen, limit, first, whole = 0.0, 400, True, False
@@ -241,7 +300,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000,
             left, chain, used = stack.pop()
             seen += 1
             rest = sum(x * n for x, n in left.items())
-            if used + -(-rest // capacity) >= best_n:
+            if used + -(-rest // capacity) >= best_n or used + lower_bound(left, capacity) >= best_n:
                 continue
             if not left:
                 best_n, best = used, []
@@ -254,7 +313,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000,
             one[top] -= 1
             lengths = sorted((x for x, n in one.items() if n), reverse=True)
             found, complete, steps = fillings(capacity - top, one, lengths, limit, not first)
-            seen += steps / 8000 if not first else 0
+            seen += steps / 400 if not first else 0
             whole = whole and complete and len(found) <= branches
             for f in reversed(found[:branches]):
                 pattern = dict(f)

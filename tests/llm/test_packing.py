@@ -128,3 +128,35 @@ def test_best_fit_takes_the_fullest_sequence():
                 rooms.append(cap - x)
         got = packing.best_fit({x: lengths.count(x) for x in lengths}, cap)
         assert sorted(cap - sum(x * n for x, n in p) for p, t in got for _ in range(t)) == sorted(rooms)
+
+
+def test_lower_bound_and_dominance_against_brute_force():
+    rnd = random.Random(12)
+    for _ in range(300):
+        cap = rnd.choice([7, 10, 20, 50, 100])
+        lengths = [rnd.randint(1, cap) for _ in range(rnd.randint(0, 9))]
+        counts = {x: lengths.count(x) for x in lengths}
+        assert -(-sum(lengths) // cap) <= packing.lower_bound(counts, cap) <= (fewest(lengths, cap) if lengths else 0)
+        if lengths:
+            top = max(lengths)
+            one = {x: n - (x == top) for x, n in counts.items()}
+            rest = sorted((x for x, n in one.items() if n), reverse=True)
+            found, whole, _ = packing.fillings(cap - top, one, rest, every=True)
+            assert whole  # some undominated filling begins a best packing
+            after = []
+            for f in found:
+                left = dict(one)
+                for x, n in f:
+                    left[x] -= n
+                others = [x for x, n in left.items() for _ in range(n)]
+                after.append(1 + (fewest(others, cap) if others else 0))
+            assert min(after) == fewest(lengths, cap)
+
+
+def test_lower_bound_beyond_the_total():
+    rnd = random.Random(13)
+    for lo, hi, n in ((700, 1499, 1000), (683, 1023, 900), (513, 682, 600)):
+        lengths = [rnd.randint(lo, hi) for _ in range(n)]
+        counts = {x: lengths.count(x) for x in lengths}
+        bound, used = packing.lower_bound(counts, 2048), sum(t for _, t in packing.best_fit(counts, 2048))
+        assert -(-sum(lengths) // 2048) < bound <= used <= 1.03 * bound

@@ -33,6 +33,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length that one task ranks.
 PART = 50_000
+#: Steps of enumeration that count as a node of the search.
+STEPS = 100
 #: Words whose IDs a worker keeps: about 200 bytes each.
 _CACHE_WORDS = 300_000
 _LONG_WORD = 64
@@ -287,7 +289,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000,
     Depth first over the fillings of the largest length left, fewest sequences first found by best fit. A
     branch ends when its waste so far leaves it no better than the incumbent. The first pass takes `branches`
     fillings a node; each next pass three times as many, out of three times as long an enumeration, until no filling
-    was left out. The search ends at the lower bound or after `nodes` nodes in all passes; 400
+    was left out. The search ends at the lower bound or after `nodes` nodes in all passes; STEPS
     steps of enumeration count as a node."""
     counts = {x: n for x, n in counts.items() if n}
     bound = lower_bound(counts, capacity)
@@ -300,7 +302,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000,
             left, chain, used = stack.pop()
             seen += 1
             rest = sum(x * n for x, n in left.items())
-            if used + -(-rest // capacity) >= best_n or used + lower_bound(left, capacity) >= best_n:
+            if used + -(-rest // capacity) >= best_n or not first and used + lower_bound(left, capacity) >= best_n:
                 continue
             if not left:
                 best_n, best = used, []
@@ -313,7 +315,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000,
             one[top] -= 1
             lengths = sorted((x for x, n in one.items() if n), reverse=True)
             found, complete, steps = fillings(capacity - top, one, lengths, limit, not first)
-            seen += steps / 400 if not first else 0
+            seen += steps / STEPS
             whole = whole and complete and len(found) <= branches
             for f in reversed(found[:branches]):
                 pattern = dict(f)

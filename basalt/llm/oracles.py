@@ -23,6 +23,20 @@ g AS (SELECT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS class_si
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(class_id, c.doc_id) AS class_id, coalesce(class_size, 1) AS class_size, coalesce(n_links, 0) AS n_links, component_id, count(*) OVER (PARTITION BY component_id) AS component_size
 FROM c LEFT JOIN n ON n.doc_id = c.doc_id LEFT JOIN l ON l.doc_id = c.doc_id LEFT JOIN g ON g.doc_id = c.doc_id"""
 
+#: Every 50 bytes of every text, in hexadecimal, cut out of pieces of 1049 bytes.
+REPEATS = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+b AS (SELECT doc_id, k * 1000 AS base, h[2000 * k + 1 : 2000 * k + 2098] AS c FROM (SELECT doc_id, h, unnest(range((n + 950) // 1000)) AS k FROM h)),
+s AS (SELECT doc_id, base + j AS i, c[2 * j + 1 : 2 * j + 100] AS g FROM (SELECT *, unnest(range(least(1000, len(c) // 2 - 49))) AS j FROM b)),
+f AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g),
+p AS (SELECT s.doc_id, i, coalesce(i > 50 + lag(i) OVER (PARTITION BY s.doc_id ORDER BY i), true) AS new FROM s JOIN f ON f.g = s.g WHERE first < s.doc_id),
+r AS (SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM p),
+q AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM r GROUP BY doc_id, run),
+g AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y, max(z) OVER (PARTITION BY doc_id) AS m FROM q),
+k AS (SELECT g.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(h[2 * y + 1 : 2 * a], '' ORDER BY a) || any_value(h[2 * m + 1 :]) AS kept FROM g JOIN h ON h.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT h.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM h LEFT JOIN k ON k.doc_id = h.doc_id"""
+
+
 def secrets_sql() -> str:
     """The secret scan, its models' training included."""
     from basalt.llm import secrets

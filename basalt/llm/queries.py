@@ -114,5 +114,6 @@ def op2_suffix_array_dedup(spark, sf_dir):
 
 
 ORACLES["op1_secret_scan"] = oracles.secrets_sql()
+ORACLES["op2_suffix_array_dedup"] = oracles.REPEATS
 ORACLES["op3_ngram_jaccard_join"] = oracles.JACCARD
 ORACLES["op3_ngram_jaccard_links"] = oracles.JACCARD_LINKS

@@ -156,7 +156,7 @@ def raw_score(text: str, lexicon: Lexicon, weights: dict[tuple[int, int], float]
     tokens = text.lower().split()
     hits = [(k, h) for k, h in enumerate(map(lexicon.hit, tokens)) if h]
     total, part = 0.0, 1.0
-    for v in sorted((weights.get(h, 0.0) * context(tokens, k) for k, h in hits), reverse=True)[:16]:
+    for v in sorted((weights.get(h, 0.0) * context(tokens, k) for k, h in hits), reverse=True):
         total, part = total + v * part, part / 2
     return total / (1 + total)
 

@@ -116,3 +116,12 @@ def test_rare_insults_are_learned_among_many_toxic_texts(spark):
     terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, y int"))
     lex = toxicity.Lexicon(terms)
     assert len(words) > 200 and all(lex.hit(w) and lex.hit(w)[1] == 0 for w in words) and not lex.hit("commonly") and not lex.hit("common")
+
+
+def test_every_hit_counts():
+    lexicon = toxicity.Lexicon([("blorgle", False)])
+    got = toxicity.raw_score("blorgle " * 40, lexicon, {(0, 0): 3.0})
+    total = 3.0 * (2 - 2.0**-39)
+    assert abs(got - total / (1 + total)) < 1e-15
+    assert got > toxicity.raw_score("blorgle " * 16, lexicon, {(0, 0): 3.0})
+    assert 0 <= toxicity.raw_score("blorgle " * 50_000, lexicon, {(0, 0): 3.0}) < 1

@@ -30,20 +30,23 @@ text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import batch_of, drop_stored, ids_and_bytes, mix, picked, runs, stored, text_batches, texts
+from basalt.llm.common import batch_of, drop_stored, ids_and_bytes, lean, mix, picked, runs, stored, text_batches, texts
+
+if TYPE_CHECKING:  # a worker that joins texts needs no pandas, which takes 27 MB
+    import pandas as pd
 
 WORDS = 5
-#: Bytes of text that are hashed at once.
-PIECE = 1 << 20
+#: Bytes of text that are hashed at once: the hashes take some 50 bytes a byte.
+PIECE = 1 << 18
 #: Rows that a task settles among themselves before the rest is sent.
 BUFFER = 1 << 18
 #: Sets and bytes of hashes of a block.
@@ -82,7 +85,9 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(white[1:] != white[:-1])
     start, end = edges[0::2], edges[1::2]
     total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(_BYTES[a] * _POWERS[: len(a)], out=total[1:])
+    np.take(_BYTES, a, out=total[1:])
+    total[1:] *= _POWERS[: len(a)]
+    np.cumsum(total, out=total)
     h = mix((total[end] - total[start]) * _INVERSES[start] + (end - start).astype(np.uint64))
     for i in np.flatnonzero(end - start > 64):
         h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
@@ -323,7 +328,7 @@ def digests(docs: DataFrame) -> DataFrame:
             d = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             yield batch_of(doc_id=ids, n=np.array([len(s) for s in sets], np.int64), d1=np.array([x >> 64 for x in d], np.uint64).view(np.int64), d2=np.array([x & (1 << 64) - 1 for x in d], np.uint64).view(np.int64))
 
-    return stored(texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint").dropDuplicates(["doc_id"]), "digests")
+    return stored(texts(docs).where("doc_id is not null").mapInArrow(lean(run), "doc_id bigint, n bigint, d1 bigint, d2 bigint").dropDuplicates(["doc_id"]), "digests")
 
 
 def _prefix_rows(batches):
@@ -385,8 +390,8 @@ def _least(n):
 
 def candidates(docs: DataFrame, info: DataFrame) -> DataFrame:
     """doc_id, n: the first text of each class of equal sets that may have links to other sets; stored."""
-    rows = texts(docs).where("doc_id is not null").mapInArrow(_prefix_rows, "key bigint, doc_id bigint, shared int")
-    shared = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_rows, "doc_id bigint, shared bigint").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    rows = texts(docs).where("doc_id is not null").mapInArrow(lean(_prefix_rows), "key bigint, doc_id bigint, shared int")
+    shared = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_shared_rows), "doc_id bigint, shared bigint").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
     firsts = info.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id"))
     return stored(firsts.join(shared, "doc_id").where(F.col("shared") >= _least(F.col("n"))).select("doc_id", "n"), "candidates")
 
@@ -477,12 +482,12 @@ def _ordered(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["node", "n", "hashes", "rare", "common", "k"])
 
-    sets = picked(texts(docs), chosen, "doc_id", "sets", lambda joined: joined.select("doc_id", "text").mapInArrow(hashed, _SETS).dropDuplicates(["node"]))
+    sets = picked(texts(docs), chosen, "doc_id", "sets", lambda joined: joined.select("doc_id", "text").mapInArrow(lean(hashed), _SETS).dropDuplicates(["node"]))
     most = COMMON
-    rows = sets.mapInArrow(lambda x: _token_rows(x, most), "key bigint, node bigint, weight int, token bigint").repartition("key").sortWithinPartitions("key")
-    counted = rows.mapInArrow(lambda x: _counted_rows(x, most), "node bigint, token bigint, common boolean")
+    rows = sets.mapInArrow(lean(lambda x: _token_rows(x, most)), "key bigint, node bigint, weight int, token bigint").repartition("key").sortWithinPartitions("key")
+    counted = rows.mapInArrow(lean(lambda x: _counted_rows(x, most)), "node bigint, token bigint, common boolean")
     lists = counted.groupBy("node").agg(F.collect_list(F.when(~F.col("common"), F.col("token"))).alias("rare"), F.collect_list(F.when(F.col("common"), F.col("token"))).alias("common"))
-    out = stored(sets.join(lists, "node").mapInArrow(prefixed, f"{_SETS}, rare binary, common binary, k bigint"), "ordered")
+    out = stored(sets.join(lists, "node").mapInArrow(lean(prefixed), f"{_SETS}, rare binary, common binary, k bigint"), "ordered")
     drop_stored(sets)
     return out
 
@@ -519,7 +524,7 @@ def _blocks(sets: DataFrame) -> DataFrame:
             yield _edges_of(close())
 
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.select("k", "node", "hashes").repartitionByRange(parts, "k", "node").sortWithinPartitions("k", "node").mapInArrow(run, "a bigint, b bigint")
+    return sets.select("k", "node", "hashes").repartitionByRange(parts, "k", "node").sortWithinPartitions("k", "node").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -591,8 +596,8 @@ def _rare_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
                 own = [len(x) for x in rare]
                 yield batch_of(key=np.concatenate(rare), **{c: np.repeat(b.column(c).to_numpy(), own) for c in ("node", "label", "n")})
 
-    rows = _labelled(sets, labels, "n", "rare").mapInArrow(run, "key bigint, node bigint, label bigint, n bigint")
-    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_rare_rows, "x bigint, y bigint").groupBy("x", "y").agg(F.count(F.lit(1)).alias("s"))
+    rows = _labelled(sets, labels, "n", "rare").mapInArrow(lean(run), "key bigint, node bigint, label bigint, n bigint")
+    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_rare_rows), "x bigint, y bigint").groupBy("x", "y").agg(F.count(F.lit(1)).alias("s"))
     x, y = (sets.select(F.col("node").alias(c), _least(F.col("n")).alias(f"m{c}"), (F.length("common") / 8).alias(f"c{c}")) for c in "xy")
     enough = F.col("s") >= F.greatest("mx", "my") - F.least("cx", "cy")
     return pairs.join(x, "x").join(y, "y").where(enough).select("x", "y")
@@ -610,7 +615,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("lx"), b.column("ly")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     hx, hy = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "xy")
-    return pairs.join(hx, "x").join(hy, "y").select("lx", "ly", "hx", "hy").mapInArrow(run, "a bigint, b bigint").distinct()
+    return pairs.join(hx, "x").join(hy, "y").select("lx", "ly", "hx", "hy").mapInArrow(lean(run), "a bigint, b bigint").distinct()
 
 
 _BLOCK = "block bigint, label bigint, least bigint, most bigint, labels binary, sizes binary, hashes binary, tokens array<bigint>"
@@ -633,7 +638,7 @@ def _placed(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = slim.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = slim.repartitionByRange(parts, "label", "node").sortWithinPartitions("label", "node")
-    rows = stored(ordered.mapInArrow(run, "node bigint, label bigint, part bigint, start bigint, end bigint"), "placed")
+    rows = stored(ordered.mapInArrow(lean(run), "node bigint, label bigint, part bigint, start bigint, end bigint"), "placed")
     before, at = [], 0
     for part, total in sorted(tuple(r) for r in rows.groupBy("part").agg(F.max("end")).collect()):
         before.append((part, at))
@@ -671,7 +676,7 @@ def _common_blocks(sets: DataFrame, labels: DataFrame) -> DataFrame:
     place, rows = _placed(_labelled(enough, labels, F.length("hashes").cast("bigint").alias("bytes")))
     some = enough.join(place, "node").select("block", "node", "label", "n", "hashes", "common")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = stored(some.repartition(parts, "block").sortWithinPartitions("block", "label", "node").mapInArrow(run, _BLOCK), "blocks")
+    out = stored(some.repartition(parts, "block").sortWithinPartitions("block", "label", "node").mapInArrow(lean(run), _BLOCK), "blocks")
     drop_stored(rows)
     return out
 
@@ -699,7 +704,7 @@ def _common_edges(blocks: DataFrame) -> DataFrame:
     bx, by = (blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}{s}") for c in ("labels", "sizes", "hashes"))) for s in "xy")
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pairs.join(bx, "x").join(by, "y").repartition(parts, "x", "y")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(lean(run), "a bigint, b bigint").distinct()
 
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -790,6 +795,8 @@ _COUNTS = "node bigint, linked bigint"
 def _tile_links(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one tile with another or with itself, or of several small components: for each set how many
     documents of other sets it links to there."""
+    import pandas as pd
+
     nodes, counts = [], []
     for (_, i, j), g in pdf.groupby(["label", "i", "j"]):
         sets = [np.frombuffer(h, "<u8") for h in g["hashes"]]

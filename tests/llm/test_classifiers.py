@@ -125,3 +125,10 @@ def test_every_hit_counts():
     assert abs(got - total / (1 + total)) < 1e-15
     assert got > toxicity.raw_score("blorgle " * 16, lexicon, {(0, 0): 3.0})
     assert 0 <= toxicity.raw_score("blorgle " * 50_000, lexicon, {(0, 0): 3.0}) < 1
+
+
+def test_scores_take_one_worker_a_task(spark):
+    """Two steps of Python in a row would have a task take two workers, which stay."""
+    sf = "/root/testdata/sf0.001"
+    scored = quality.score(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert scored._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1

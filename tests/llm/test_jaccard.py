@@ -1,5 +1,7 @@
 import random
 import re
+import subprocess
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -194,3 +196,31 @@ def test_blocks_follow_the_sets_not_the_partitions(spark, monkeypatch):
     with configured(spark, **{"spark.sql.shuffle.partitions": "13"}):
         got = sorted(tuple(r) for r in jaccard._common_blocks(sets, labels).select("block", "label", F.length("sizes") / 8).collect())
     assert got == [(0, 0, 16), (1, None, 16), (2, 1, 8)]
+
+
+_TASK = r"""
+import random, re
+import numpy, pyarrow, pyspark.sql.functions
+
+def held():
+    return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+libraries = held()
+from basalt.llm import common, jaccard
+rnd = random.Random(1)
+
+def batches():
+    for k in range(24):
+        texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(1200)) for _ in range(120)]
+        yield pyarrow.RecordBatch.from_pydict({"doc_id": list(range(120 * k, 120 * k + 120)), "text": texts})
+
+step = getattr(common, "lean", lambda run: run)(jaccard._prefix_rows)
+assert sum(b.num_rows for b in step(batches())) > 24 * 120
+print(held() - libraries)
+"""
+
+
+def test_a_worker_that_waits_holds_little():
+    """MB that a process keeps after a task's 24 MB of texts, besides numpy, Arrow and Spark: several wait in an executor."""
+    out = subprocess.run([sys.executable, "-c", _TASK], capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 60
